@@ -23,7 +23,7 @@ from strandweave.llm.common import materialize, prepare
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_200_000
 MAX_STEPS = 2000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -31,44 +31,109 @@ _tokenizers: dict[str, "WordCache"] = {}
 
 
 class WordCache:
-    """Token ids by blank-separated word; the tokenizer never joins across blanks, so a text's ids are its words' ids."""
+    """Token ids by blank-separated word; the tokenizer never joins across blanks, so a text's ids are its words' ids.
+
+    A word is one or two parts: a final full stop or comma after letters is
+    always a token run of its own. Parts of Latin-1 letters alone, nearly all
+    of them in Western text, are lower-cased here and sent in bulk to the
+    same merges without the tokenizer's text stages; an id that ends a part
+    says so in its string. All other parts take the tokenizer as it is.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        strings = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(strings.values()) + 1, bool)
+        self.ends[[i for t, i in strings.items() if t.endswith("</w>")]] = True
+        shifted = [*range(33), *range(127, 161), 173]
+        self.to_bytes = {b: 256 + n for n, b in enumerate(shifted)}
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
-        self.ids, self.starts, self.lens, self.n, self.words = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 1
+        self.parts = np.zeros((1 << 16, 2), np.int64)  # of each word
+        self.slots: dict[str, int] = {"": 0}
+        self.ids, self.starts, self.lens, self.n = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
-    def add(self, new: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lens = np.fromiter(map(len, encoded), np.int64, len(new))
-        total = int(lens.sum())
-        while self.n + total > len(self.ids):
+    def _store(self, new: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        at = len(self.slots)
+        while self.n + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.words + len(new) > len(self.lens):
+        while at + len(new) > len(self.lens):
             self.lens, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lens, self.starts))
-        self.ids[self.n : self.n + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
-        self.lens[self.words : self.words + len(new)] = lens
-        self.starts[self.words : self.words + len(new)] = self.n + np.cumsum(lens) - lens
-        self.index.update(zip(new, range(self.words, self.words + len(new))))
-        self.n, self.words = self.n + total, self.words + len(new)
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        self.ids[self.n : self.n + len(ids)] = ids
+        self.lens[at : at + len(new)] = lens
+        self.starts[at : at + len(new)] = self.n + np.cumsum(lens) - lens
+        self.slots.update(zip(new, range(at, at + len(new))))
+        self.n += len(ids)
+
+    def _merge(self, new: list[str], ascii_only: bool) -> None:
+        for at in range(0, len(new), 1000):
+            some = new[at : at + 1000]
+            line = " ".join(some) if ascii_only else " ".join(p.encode().decode("latin-1").translate(self.to_bytes) for p in some)
+            ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+            self._store(some, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+
+    def learn(self, new: list[str]) -> None:
+        """Makes new words known."""
+        one, two = [], []
+        known = self.slots
+        plain: dict[str, None] = {}
+        latin: dict[str, None] = {}
+        other: dict[str, None] = {".": None, ",": None}
+        for w in new:
+            end = ""
+            core = w
+            if w.isalpha() or w[-1] in ".," and (core := w[:-1]).isalpha():
+                if core is not w:
+                    end = w[-1]
+                if core.isascii():
+                    core = core.lower()
+                    to = plain
+                elif max(core) <= "\xff":
+                    core = core.lower()
+                    to = latin
+                else:
+                    to = other
+            else:
+                core = w
+                to = other
+            if core not in known:
+                to[core] = None
+            one.append(core)
+            two.append(end)
+        self._merge(list(plain), True)
+        self._merge(list(latin), False)
+        rest = [p for p in other if p not in known]
+        if rest:
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            lens = np.fromiter(map(len, encoded), np.int64, len(rest))
+            self._store(rest, np.fromiter((i for e in encoded for i in e), np.uint32, int(lens.sum())), lens)
+        at = len(self.index)
+        while at + len(new) > len(self.parts):
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+        self.parts[at : at + len(new), 0] = np.fromiter(map(known.__getitem__, one), np.int64, len(new))
+        self.parts[at : at + len(new), 1] = np.fromiter(map(known.__getitem__, two), np.int64, len(new))
+        self.index.update(zip(new, range(at, at + len(new))))
+
+    def encode(self, texts: list[str | None]):
+        """Yields the ids of each text."""
+        docs = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        try:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self.add([w for w in dict.fromkeys(words) if w not in self.index])
+        new = set().union(*docs).difference(self.index)
+        if new:
+            self.learn(list(new))
+        for words in docs:
             at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        lens = self.lens[at]
-        stops = np.cumsum(lens)
-        return self.ids[np.repeat(self.starts[at] - stops + lens, lens) + np.arange(stops[-1])]
+            parts = self.parts[at].ravel()
+            lens = self.lens[parts]
+            stops = np.cumsum(lens)
+            yield self.ids[np.repeat(self.starts[parts] - stops + lens, lens) + np.arange(stops[-1])]
 
 
 def word_cache(path: str) -> WordCache:
@@ -92,8 +157,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None, capacity: int =
         cache = word_cache(path)
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(cache.encode(text or ""), np.uint32(END_ID)).astype("<u4")
+            for doc, own in zip(b.column(0).to_pylist(), cache.encode(b.column(1).to_pylist())):
+                ids = np.append(own, np.uint32(END_ID)).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     out.append((doc, p, at, len(part), zlib.crc32(part.tobytes())) + ((part.tolist(),) if with_ids else ()))

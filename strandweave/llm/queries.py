@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import decontamination, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup
+from strandweave.llm import chat_quotes, decontamination, packing, pii, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
 from strandweave.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "score", "predicted")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per toxic document."""
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -43,14 +48,27 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat_quotes.render(chat_quotes.link_conversations(table(spark, sf_dir, "conversations")))
+    return linked.select("conv_id", "turn", "role", "thread", "reply_to", "n_quotes", "max_level", F.sha2("chat", 256).alias("chat_sha256"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per secret found."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.fit())
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,
+    "op9_chat_quotes": op9_chat_quotes,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
