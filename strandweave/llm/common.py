@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.session import ship
+
 ARROW_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches, so that a batch of long texts fits a Python worker."""
+    """Ship the package, and bound Arrow batches so that a batch of long texts fits a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 

@@ -97,7 +97,8 @@ class WordCache:
                 elif max(core) <= "\xff":
                     core = core.lower()
                     to = latin
-                else:
+                else:  # lower-casing may end it in a mark, which joins the full stop
+                    core, end = w, ""
                     to = other
             else:
                 core = w
@@ -344,4 +345,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
 
     A null or empty text is the end id alone. Extra columns are ignored.
     """
-    return pack(materialize(tokenize(docs, tokenizer_path, capacity), "pieces"), capacity)
+    packed = pack(materialize(tokenize(docs, tokenizer_path, capacity), "pieces"), capacity)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
