@@ -33,7 +33,8 @@ MIN_DOCS = 5
 MIN_Z = 4.5
 PREFIXES = (4, 5, 6)
 FOLDS = 5
-THRESHOLD = 0.5
+#: Chosen on held-out labels, where it finds more than 0.5 does for as few false alarms: marked labels are fewer than marked texts.
+THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
 
 
