@@ -12,10 +12,12 @@ ranks come from a two-level count, so that a hot length is split.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +57,9 @@ class WordCache:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
-        self.parts = np.zeros((1 << 16, 2), np.int64)  # of each word
+        self.parts = np.zeros((1 << 16, 2), np.int32)  # of each word
         self.slots: dict[str, int] = {"": 0}
-        self.ids, self.starts, self.lens, self.n = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.ids, self.starts, self.lens, self.n = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
 
     def _store(self, new: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         at = len(self.slots)
@@ -121,20 +123,31 @@ class WordCache:
         self.parts[at : at + len(new), 1] = np.fromiter(map(known.__getitem__, two), np.int64, len(new))
         self.index.update(zip(new, range(at, at + len(new))))
 
-    def encode(self, texts: list[str | None]):
-        """Yields the ids of each text."""
-        docs = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def encode(self, texts):
+        """Yields the ids of each text of a list or Arrow array. Words are counted off by Arrow, so that Python sees each of a batch's words once."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        own = coded.dictionary.to_pylist()
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        new = set().union(*docs).difference(self.index)
-        if new:
-            self.learn(list(new))
-        for words in docs:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            parts = self.parts[at].ravel()
-            lens = self.lens[parts]
-            stops = np.cumsum(lens)
-            yield self.ids[np.repeat(self.starts[parts] - stops + lens, lens) + np.arange(stops[-1])]
+        known = np.fromiter(map(self.index.get, own, itertools.repeat(-1)), np.int32, len(own))
+        unknown = np.flatnonzero(known < 0)
+        if len(unknown):
+            known[unknown] = np.arange(len(self.index), len(self.index) + len(unknown), dtype=np.int32)
+            self.learn([own[i] for i in unknown.tolist()])
+        parts = self.parts[known][coded.indices.to_numpy()].ravel()
+        lens = self.lens[parts]
+        ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+        bounds = ends[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())]
+        for start in range(0, len(texts), 64):  # bounded arrays of ids
+            stop = min(start + 64, len(texts))
+            lo, hi = bounds[start], bounds[stop]
+            a, b = np.searchsorted(ends, [lo, hi])
+            some = lens[a:b]
+            ids = self.ids[np.repeat(self.starts[parts[a:b]] - ends[a:b] + lo, some) + np.arange(hi - lo)]
+            for i in range(start, stop):
+                yield ids[bounds[i] - lo : bounds[i + 1] - lo]
 
 
 def word_cache(path: str) -> WordCache:
@@ -158,7 +171,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None, capacity: int =
         cache = word_cache(path)
         for b in batches:
             out: list[tuple] = []
-            for doc, own in zip(b.column(0).to_pylist(), cache.encode(b.column(1).to_pylist())):
+            for doc, own in zip(b.column(0).to_pylist(), cache.encode(b.column(1))):
                 ids = np.append(own, np.uint32(END_ID)).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
