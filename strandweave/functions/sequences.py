@@ -13,7 +13,7 @@ _FROM, _TO = "ACGTUBDHKMRVY", "TGCAAVHDMKYBR"
 
 def normalise(seq: Column) -> Column:
     """Upper case, U as T, and every character that is no base code as X."""
-    return F.regexp_replace(F.translate(F.upper(seq), "U", "T"), f"[^{CODES}]", "X")
+    return F.regexp_replace(F.translate(seq, CODES.lower() + "uU", CODES + "TT"), f"[^{CODES}]", "X")
 
 
 def base_code(base: Column) -> Column:

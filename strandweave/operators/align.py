@@ -236,7 +236,7 @@ def with_windows(clumps: DataFrame, sequences: DataFrame, reads: DataFrame, p: A
     high = F.array_max(F.transform("frags", lambda f: f["sro"] - f["sqo"])) + F.length("read") + pad
     spans = near.withColumn("_lo", F.greatest(low, F.lit(0))).withColumn("_hi", F.least(high, F.col("seq_len")))
     keyed = spans.withColumn("_id", F.struct("query_id", "strand", "seq_id", "region", "clump"))
-    wanted = keyed.select("_id", "seq_id", F.explode(F.sequence(F.expr(f"_lo div {CHUNK}"), F.expr(f"(_hi - 1) div {CHUNK}"))).cast("int").alias("chunk_id"))
+    wanted = keyed.select("_id", "seq_id", F.explode(F.sequence(F.expr(f"cast(_lo div {CHUNK} as int)"), F.expr(f"cast((_hi - 1) div {CHUNK} as int)"))).alias("chunk_id"))
     cut = wanted.join(chunks(sequences), ["seq_id", "chunk_id"]).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "bases"))).alias("c"))
     joined_ = keyed.join(cut, "_id")
     first = F.col("_lo") - F.expr(f"(_lo div {CHUNK}) * {CHUNK}")
