@@ -42,6 +42,7 @@ PIECE = 32
 CHUNK_BYTES = 3_000_000
 CHUNK_DOCS = 50_000
 BUCKET_BYTES = 32_000_000
+SLICE_BYTES = 1_000_000
 SAMPLE_DOCS, SAMPLE_BYTES = 6_000, 24_000_000
 TABLE_BITS = 24
 BLOCK = 1 << 16
@@ -323,7 +324,7 @@ def _emit_contested(parts: int, bits: bytes):
     return run
 
 
-def removed_windows(bucket: np.ndarray, doc: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray:
+def removed_windows(doc: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray:
     """A bit per window of each run (the first is bit 0): does a smaller document have it? Runs lie end to end in text."""
     rank = bucket_pointer_refinement(text, WINDOW)
     inside = size - WINDOW + 1
@@ -337,8 +338,20 @@ def removed_windows(bucket: np.ndarray, doc: np.ndarray, size: np.ndarray, text:
 
 
 def _settle_windows(_, t):
+    """Windows are shared within a bucket alone, so that buckets are taken in slices of bounded text."""
     bucket, run, doc, size, text = _unpacked(t, True)
-    mask = removed_windows(bucket, doc, size, text)
+    begin = np.cumsum(size) - size
+    by = np.argsort(bucket, kind="stable")
+    mask = np.zeros(len(run), np.int64)
+    heads = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1]])
+    filled = np.r_[0, np.cumsum(size[by])]
+    cuts = [0]
+    for h in heads[1:].tolist():
+        if filled[h] - filled[cuts[-1]] >= SLICE_BYTES:
+            cuts.append(h)
+    for a, b in zip(cuts, [*cuts[1:], len(by)]):
+        own = by[a:b]
+        mask[own] = removed_windows(doc[own], size[own], text[_ranges(begin[own], size[own])])
     some = mask > 0
     return pa.table({"doc_id": doc[some], "run": run[some].view(np.int64), "mask": mask[some]})
 
