@@ -235,13 +235,14 @@ def with_windows(clumps: DataFrame, sequences: DataFrame, reads: DataFrame, p: A
     low = F.array_min(F.transform("frags", lambda f: f["sro"] - f["sqo"])) - pad
     high = F.array_max(F.transform("frags", lambda f: f["sro"] - f["sqo"])) + F.length("read") + pad
     spans = near.withColumn("_lo", F.greatest(low, F.lit(0))).withColumn("_hi", F.least(high, F.col("seq_len")))
-    keyed = spans.withColumn("_id", F.struct("query_id", "strand", "seq_id", "region", "clump"))
-    wanted = keyed.select("_id", "seq_id", F.explode(F.sequence(F.expr(f"cast(_lo div {CHUNK} as int)"), F.expr(f"cast((_hi - 1) div {CHUNK} as int)"))).alias("chunk_id"))
-    cut = wanted.join(chunks(sequences), ["seq_id", "chunk_id"]).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "bases"))).alias("c"))
-    joined_ = keyed.join(cut, "_id")
+    key = [*GROUP, "region", "clump"]
+    rest = ["frags", "read", "seq_len", "_lo", "_hi"]
+    wanted = spans.select(*key, *rest, F.explode(F.sequence(F.expr(f"cast(_lo div {CHUNK} as int)"), F.expr(f"cast((_hi - 1) div {CHUNK} as int)"))).alias("chunk_id"))
+    parts = wanted.join(chunks(sequences), ["seq_id", "chunk_id"])
+    cut = parts.groupBy(*key).agg(*(F.first(c).alias(c) for c in rest), F.array_sort(F.collect_list(F.struct("chunk_id", "bases"))).alias("c"))
     first = F.col("_lo") - F.expr(f"(_lo div {CHUNK}) * {CHUNK}")
     window = F.substring(F.array_join(F.transform("c", lambda x: x["bases"]), ""), (first + 1).cast("int"), (F.col("_hi") - F.col("_lo")).cast("int"))
-    return joined_.select(*GROUP, "region", "clump", "frags", "read", window.alias("window"), F.col("_lo").alias("first"), "seq_len")
+    return cut.select(*key, "frags", "read", window.alias("window"), F.col("_lo").alias("first"), "seq_len")
 
 
 ALIGNMENT = f"sqo int, eqo int, sro bigint, ero bigint, ops {EDITS}, ref string, score int, matches int, mismatches int, gap_bases int, aln_len int, status int, query_len int, mapq int"

@@ -170,29 +170,23 @@ def chain_region(region: list[Frag], query_len: int, p: AlignParams) -> list[lis
 
 
 def chain_clumps(in_regions: DataFrame, p: AlignParams) -> DataFrame:
-    """(*GROUP, region, clump, frags): clumps of the regions with two fragments or more; a region is gathered into one row."""
+    """(*GROUP, region, clump, frags): the clumps of all regions; a region is gathered into one row. A region of one fragment is its own chain if long enough."""
     ship(in_regions.sparkSession)
-    several = in_regions.where("n_frags > 1").groupBy(*GROUP, "region").agg(F.max("eqo").alias("last"), F.array_sort(F.collect_list(F.struct("sqo", "sro", "len"))).alias("frags"))
+    whole = in_regions.groupBy(*GROUP, "region").agg(F.max("eqo").alias("last"), F.array_sort(F.collect_list(F.struct("sqo", "sro", F.col("len").cast("int").alias("len")))).alias("frags"))
+    whole = whole.where((F.size("frags") > 1) | (F.get("frags", 0)["len"] >= p.min_match))
     names = [*GROUP, "region"]
 
     def run(batches):
         for b in batches:
             rows, clump, frags = [], [], []
             for i, (last, some) in enumerate(zip(b.column("last").to_pylist(), b.column("frags").to_pylist())):
-                for k, chain in enumerate(chain_region([Frag(**f) for f in some], last + 1, p)):
+                found = chain_region([Frag(**f) for f in some], last + 1, p) if len(some) > 1 else [[Frag(**some[0])]]
+                for k, chain in enumerate(found):
                     rows.append(i)
                     clump.append(k)
                     frags.append([{"sqo": f.sqo, "sro": f.sro, "len": f.len} for f in chain])
             taken = b.select(names).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(clump, pa.int32()), pa.array(frags, _ARROW)], [*names, "clump", "frags"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in several.select(names).schema)
-    return several.mapInArrow(run, f"{kinds}, clump int, frags {FRAGS}")
-
-
-def all_clumps(in_regions: DataFrame, p: AlignParams) -> DataFrame:
-    """Clumps of all regions: those of one fragment stay in the JVM."""
-    from strandweave.operators.seeds import lone_clumps
-
-    lone = lone_clumps(in_regions, p.min_match).select(*GROUP, "region", F.lit(0).alias("clump"), F.array(F.struct("sqo", "sro", F.col("len").cast("int").alias("len"))).alias("frags"))
-    return lone.unionByName(chain_clumps(in_regions, p))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.select(names).schema)
+    return whole.mapInArrow(run, f"{kinds}, clump int, frags {FRAGS}")

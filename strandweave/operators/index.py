@@ -23,14 +23,19 @@ def chunks(sequences: DataFrame, id_col: str = "seq_id", chunk: int = CHUNK, ove
     return at.select(id_col, *keep, "chunk_id", (F.concat("bases", tail) if overlap else F.col("bases")).alias("bases"))
 
 
-def kmers(sequences: DataFrame, word_len: int = 15, skip: int = 1, id_col: str = "seq_id", keep: tuple[str, ...] = (), pos_col: str = "pos") -> DataFrame:
-    """(id, *keep, pos, kmer): every ACGT-only window whose start is a multiple of skip; sequences shorter than word_len have none."""
+def windows(sequences: DataFrame, word_len: int = 15, skip: int = 1, id_col: str = "seq_id", keep: tuple[str, ...] = (), pos_col: str = "pos") -> DataFrame:
+    """(id, *keep, pos, kmer): every window whose start is a multiple of skip, as text; sequences shorter than word_len have none."""
     size = CHUNK - CHUNK % skip
     cut = chunks(sequences, id_col, size, word_len - 1, keep)
     starts = F.when(F.length("bases") >= word_len, F.sequence(F.lit(0), F.length("bases") - word_len, F.lit(skip)))
     each = cut.select(id_col, *keep, "chunk_id", "bases", F.explode(starts).alias("_i"))
-    found = each.select(id_col, *keep, (F.col("chunk_id") * size + F.col("_i")).cast("int").alias(pos_col), pack_kmer(F.substring("bases", F.col("_i") + 1, F.lit(word_len))).alias("kmer"))
-    return found.where("kmer is not null")
+    return each.select(id_col, *keep, (F.col("chunk_id") * size + F.col("_i")).cast("int").alias(pos_col), F.substring("bases", F.col("_i") + 1, F.lit(word_len)).alias("kmer"))
+
+
+def kmers(sequences: DataFrame, word_len: int = 15, skip: int = 1, id_col: str = "seq_id", keep: tuple[str, ...] = (), pos_col: str = "pos") -> DataFrame:
+    """(id, *keep, pos, kmer bigint): the windows of ACGT alone, packed."""
+    found = windows(sequences, word_len, skip, id_col, keep, pos_col)
+    return found.withColumn("kmer", pack_kmer(F.col("kmer"))).where("kmer is not null")
 
 
 def kmer_counts(index: DataFrame) -> DataFrame:

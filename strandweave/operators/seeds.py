@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.sequences import reverse_complement
-from strandweave.operators.index import kmers
+from strandweave.operators.index import kmers, windows
 from strandweave.params import AlignParams
 
 GROUP = ("query_id", "strand", "seq_id")
@@ -23,14 +23,18 @@ def read_kmers(stranded: DataFrame, word_len: int) -> DataFrame:
     return kmers(stranded, word_len, 1, "query_id", ("strand",), "qo")
 
 
-def seed_hits(stranded: DataFrame, index: DataFrame, counts: DataFrame, p: AlignParams) -> DataFrame:
-    """(query_id, strand, seq_id, diag, qo): shared k-mers, without those that occur more than max_hits times.
+def read_windows(stranded: DataFrame, word_len: int) -> DataFrame:
+    """As read_kmers, with k-mers as text."""
+    return windows(stranded, word_len, 1, "query_id", ("strand",), "qo").where(~F.col("kmer").rlike("[^ACGT]"))
+
+
+def seed_hits(wanted: DataFrame, index: DataFrame, counts: DataFrame, p: AlignParams) -> DataFrame:
+    """(query_id, strand, seq_id, diag, qo): k-mers that reads (wanted) and index share, without those that occur more than max_hits times.
 
     The limit acts on the reads' k-mers before the index is touched, so a
     frequent k-mer meets nothing in the join; what is left of its index rows
     lies on the join's probe side, where adaptive execution may split it.
     """
-    wanted = read_kmers(stranded, p.word_len)
     wanted = wanted.join(counts.where(F.col("n") <= p.max_hits).select("kmer"), "kmer", "left_semi")
     hits = index.join(wanted, "kmer")
     return hits.select(*GROUP, (F.col("pos") - F.col("qo")).cast("bigint").alias("diag"), "qo")

@@ -173,33 +173,40 @@ def choose(nodes: list[Node], p: AlignParams) -> tuple[list[int], list[int]]:
 def coverage(alignments: DataFrame, p: AlignParams) -> DataFrame:
     """Adds psqo, peqo (positions in the read's own direction), primary_ix (from 1; null: not primary) and n_primaries; pruned alignments go.
 
-    A read's alignments meet in one row without the long columns, and their
-    verdicts are joined back; reads with one alignment skip the path search.
+    A read's alignments meet in one row; the columns that the path search
+    doesn't need pass through as Arrow arrays.
     """
     ship(alignments.sparkSession)
-    plus = alignments.withColumns({
-        "psqo": plus_start(F.col("strand"), F.col("sqo"), F.col("eqo"), F.col("query_len")),
-        "peqo": plus_end(F.col("strand"), F.col("sqo"), F.col("eqo"), F.col("query_len")),
-    })
-    fields = ["psqo", "peqo", "sro", "ero", "seq_id", "strand", "score", "ops"]
-    plus = plus.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*[c for c in fields if c != "ops"], F.xxhash64("ops"))))
-    grouped = plus.groupBy("query_id").agg(F.collect_list(F.struct("_n", *fields)).alias("a"))
+    plus = _with_plus(alignments)
+    names = [c for c in plus.columns if c != "query_id"]
+    grouped = plus.groupBy("query_id").agg(F.collect_list(F.struct(*names)).alias("a"))
 
     def run(batches):
         for b in batches:
-            at, number, place, total = [], [], [], []
-            for i, rows in enumerate(b.column(1).to_pylist()):
-                nodes = [Node(r["_n"], r["psqo"], r["peqo"], r["sro"], r["ero"], r["seq_id"], r["strand"], r["score"], [(o["op"], o["len"]) for o in r["ops"]]) for r in rows]
-                first, rest = ([nodes[0].key], []) if len(nodes) == 1 else choose(nodes, p)
-                at += [i] * (len(first) + len(rest))
-                number += first + rest
+            lists = b.column(1)
+            flat = lists.flatten()
+            cols = dict(zip(names, flat.flatten()))
+            values = list(zip(*(cols[c].to_pylist() for c in ("psqo", "peqo", "sro", "ero", "seq_id", "strand", "score", "ops"))))
+            start, query, at, place, total = 0, [], [], [], []
+            for i, n in enumerate(lists.value_lengths().to_pylist()):
+                nodes = [Node(start + k, *v[:-1], [(o["op"], o["len"]) for o in v[-1]]) for k, v in enumerate(values[start : start + n])]
+                first, rest = ([start], []) if n == 1 else choose(nodes, p)
+                query += [i] * (len(first) + len(rest))
+                at += first + rest
                 place += [*range(1, len(first) + 1), *[None] * len(rest)]
                 total += [len(first)] * (len(first) + len(rest))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(place, pa.int32()), pa.array(total, pa.int32())], ["query_id", "_n", "primary_ix", "n_primaries"])
+                start += n
+            took = pa.array(at, pa.int64())
+            arrays = [b.column(0).take(pa.array(query, pa.int64())), *(cols[c].take(took) for c in names), pa.array(place, pa.int32()), pa.array(total, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["query_id", *names, "primary_ix", "n_primaries"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plus.select("query_id", *names).schema)
+    return grouped.mapInArrow(run, f"{kinds}, primary_ix int, n_primaries int")
+
 
-    kind = dict(alignments.dtypes)["query_id"]
-    verdict = grouped.mapInArrow(run, f"query_id {kind}, _n int, primary_ix int, n_primaries int")
-    return plus.join(verdict, ["query_id", "_n"]).drop("_n")
+def _with_plus(alignments: DataFrame) -> DataFrame:
+    place = (F.col("strand"), F.col("sqo"), F.col("eqo"), F.col("query_len"))
+    return alignments.withColumns({"psqo": plus_start(*place), "peqo": plus_end(*place)})
 
 
 def similar(covered: DataFrame, p: AlignParams) -> DataFrame:
@@ -207,31 +214,25 @@ def similar(covered: DataFrame, p: AlignParams) -> DataFrame:
 
     Every other alignment belongs to the primary it overlaps most on the read,
     the leftmost of equals. It is a secondary if its score and both overlap
-    shares reach the limits.
+    shares reach the limits. All of a read's rows meet by one shuffle.
     """
-    lead = covered.where("primary_ix is not null")
-    heads = lead.select("query_id", F.col("primary_ix").alias("matched"), F.col("psqo").alias("hs"), F.col("peqo").alias("he"), F.col("score").alias("h_score"))
-    rest = covered.where("primary_ix is null").withColumn("_row", F.struct("strand", "seq_id", "sqo", "eqo", "sro", "ero", "score", F.xxhash64("ops").alias("o")))
-    over = interval_overlap(F.col("psqo"), F.col("peqo"), F.col("hs"), F.col("he"))
-    best = Window.partitionBy("query_id", "_row").orderBy(F.desc("_over"), "matched")
-    tied = rest.join(heads, "query_id").withColumn("_over", over).withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    enough = (F.col("score") >= p.score_ratio * F.col("h_score")) & (F.col("_over") >= p.reciprocal_length * (F.col("peqo") - F.col("psqo") + 1)) & (F.col("_over") >= p.reciprocal_length * (F.col("he") - F.col("hs") + 1))
-    tied = tied.withColumn("_second", enough)
-    rivals = tied.groupBy("query_id", F.col("matched").alias("primary_ix")).agg(
-        F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("s"), F.sum(F.col("_second").cast("int")).cast("int").alias("n_secondaries")
-    )
-    told = lead.join(rivals, ["query_id", "primary_ix"], "left").withColumns({
-        "mapq": mapping_quality(F.col("score"), F.get("s", 0), F.get("s", 1)),
-        "status": F.col("status").bitwiseOR(F.lit(PRIMARY)),
-        "n_secondaries": F.coalesce("n_secondaries", F.lit(0)),
-        "matched_primary": F.col("primary_ix"),
+    of_read, of_primary = Window.partitionBy("query_id"), Window.partitionBy("query_id", "matched_primary")
+    lead = F.col("primary_ix").isNotNull()
+    head = F.struct(F.col("primary_ix").alias("ix"), F.col("psqo").alias("s"), F.col("peqo").alias("e"), F.col("score").alias("score"))
+    heads = F.collect_list(F.when(lead, head)).over(of_read)
+    over = F.array_max(F.transform("_heads", lambda h: F.struct(interval_overlap(F.col("psqo"), F.col("peqo"), h["s"], h["e"]).alias("over"), (-h["ix"]).alias("ix"), h["s"].alias("s"), h["e"].alias("e"), h["score"].alias("score"))))
+    tied = covered.withColumn("_heads", heads).withColumn("_h", F.when(~lead, over)).drop("_heads")
+    o = F.col("_h.over")
+    enough = (F.col("score") >= p.score_ratio * F.col("_h.score")) & (o >= p.reciprocal_length * (F.col("peqo") - F.col("psqo") + 1)) & (o >= p.reciprocal_length * (F.col("_h.e") - F.col("_h.s") + 1))
+    tied = tied.withColumn("matched_primary", F.when(lead, F.col("primary_ix")).otherwise(-F.col("_h.ix"))).withColumn("_second", F.coalesce(enough, F.lit(False)))
+    rivals = F.sort_array(F.collect_list(F.when(~lead, F.col("score"))).over(of_primary), asc=False)
+    tied = tied.withColumns({"_s": rivals, "n_secondaries": F.when(lead, F.sum(F.col("_second").cast("int")).over(of_primary).cast("int"))})
+    kept = tied.where(lead | F.col("_second")) if p.similar else tied.where(lead)
+    told = kept.withColumns({
+        "mapq": F.when(F.col("primary_ix").isNotNull(), mapping_quality(F.col("score"), F.get("_s", 0), F.get("_s", 1))).otherwise(F.col("mapq")),
+        "status": F.when(F.col("primary_ix").isNotNull(), F.col("status").bitwiseOR(F.lit(PRIMARY))).otherwise(F.col("status")),
     })
-    names = [*covered.columns, "n_secondaries", "matched_primary"]
-    out = told.select(names)
-    if p.similar:
-        seconds = tied.where("_second").withColumns({"n_secondaries": F.lit(None).cast("int"), "matched_primary": F.col("matched")})
-        out = out.unionByName(seconds.select(names))
-    return out
+    return told.select(*covered.columns, "n_secondaries", "matched_primary")
 
 
 def select_alignments(alignments: DataFrame, p: AlignParams) -> DataFrame:
@@ -239,8 +240,4 @@ def select_alignments(alignments: DataFrame, p: AlignParams) -> DataFrame:
     if p.optimal_coverage:
         return similar(coverage(alignments, p), p)
     none = F.lit(None).cast("int")
-    plus = best_of_duplicates(alignments).withColumns({
-        "psqo": plus_start(F.col("strand"), F.col("sqo"), F.col("eqo"), F.col("query_len")),
-        "peqo": plus_end(F.col("strand"), F.col("sqo"), F.col("eqo"), F.col("query_len")),
-    })
-    return plus.withColumns({c: none for c in ("primary_ix", "n_primaries", "n_secondaries", "matched_primary")})
+    return _with_plus(best_of_duplicates(alignments)).withColumns({c: none for c in ("primary_ix", "n_primaries", "n_secondaries", "matched_primary")})

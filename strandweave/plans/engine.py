@@ -25,10 +25,10 @@ class Stages:
 
 
 def hits_without_index(stranded: DataFrame, sequences: DataFrame, p: AlignParams) -> DataFrame:
-    """Seed hits straight from sequences: only k-mers that reads have are counted, and none is written."""
-    mine = seeds.read_kmers(stranded, p.word_len)
-    shared = index.kmers(sequences, p.word_len, p.skip_dist).join(mine.select("kmer").distinct(), "kmer", "left_semi")
-    return seeds.seed_hits(stranded, shared, index.kmer_counts(shared), p)
+    """Seed hits straight from sequences: windows stay text, and only those that reads have are counted and joined."""
+    mine = seeds.read_windows(stranded, p.word_len)
+    shared = index.windows(sequences, p.word_len, p.skip_dist).join(mine.select("kmer").distinct(), "kmer", "left_semi")
+    return seeds.seed_hits(mine, shared, index.kmer_counts(shared), p)
 
 
 def plan(reads: DataFrame, sequences: DataFrame, p: AlignParams | None = None, kmer_index: DataFrame | None = None) -> Stages:
@@ -38,9 +38,9 @@ def plan(reads: DataFrame, sequences: DataFrame, p: AlignParams | None = None, k
     if kmer_index is None:
         hits = hits_without_index(stranded, sequences, p)
     else:
-        hits = seeds.seed_hits(stranded, kmer_index, index.kmer_counts(kmer_index), p)
+        hits = seeds.seed_hits(seeds.read_kmers(stranded, p.word_len), kmer_index, index.kmer_counts(kmer_index), p)
     frags = seeds.fragments(hits, p.word_len)
     in_regions = seeds.regions(frags, p.max_gap)
-    clumps = chain.all_clumps(in_regions, p)
+    clumps = chain.chain_clumps(in_regions, p)
     found = align.align_clumps(clumps, sequences, stranded, p)
     return Stages(stranded, hits, frags, in_regions, clumps, found, select.select_alignments(found, p))
