@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; of repeated rows with that id, one. Rows without an id stay."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"), k=SHINGLE_WORDS)
+    groups = simhash.near_copies(docs.where("doc_id is not null"), SHINGLE_WORDS)
     gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
 

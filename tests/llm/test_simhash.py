@@ -101,3 +101,31 @@ def test_components_of_a_chain_and_a_star(spark):
     df = spark.createDataFrame(chain + star + [(7, 7), (None, 3)], "a long, b long")
     got = dict(map(tuple, connected_components(df).collect()))
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(500)) and len(got) == 701
+
+
+def test_near_copies_down_to_a_similarity_of_four_fifths(make_docs, odd_rows):
+    from support import brute_components
+
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows = []
+    for family in range(60):
+        base = [r.choice(words) for _ in range(r.randint(40, 300))]
+        rows.append((10 * family, " ".join(base)))
+        for c in range(r.randint(1, 6)):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 30))):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append((10 * family + 1 + c, " ".join(w)))
+    rows += [(-i, t) for i, t in odd_rows if i is not None and i != 5]
+    groups = {}
+    for d, c in simhash.near_copies(make_docs(rows)).collect():
+        groups.setdefault(c, set()).add(d)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute_components(rows, 5)))
+    assert all(c == min(g) for c, g in groups.items())
+    assert simhash.near_copies(make_docs([])).count() == 0
+
+
+def test_band_keys_do_not_depend_on_order():
+    a = np.array([random.Random(1).getrandbits(64) for _ in range(9000)], np.uint64)
+    assert (simhash.band_keys(a) == simhash.band_keys(a[::-1])).all() and len(simhash.band_keys(a[:0])) == 0
