@@ -34,7 +34,7 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def pack_kmer(kmer: Column) -> Column:
-    """The k-mer as a number in base 4, first base most significant; null if a base is not one of ACGT."""
+    """The k-mer, of any length up to 15, as a number in base 4, first base most significant; null if a base is not one of ACGT."""
     return F.when(~kmer.rlike("[^ACGT]"), F.conv(F.translate(kmer, "TCAG", "0123"), 4, 10).cast("bigint"))
 
 

@@ -12,30 +12,39 @@ from pyspark.sql import functions as F
 from strandweave.functions.sequences import pack_kmer
 from strandweave.params import AlignParams
 
-CHUNK = 1024
+#: Bases per chunk of the reference, and per piece that windows are taken from.
+CHUNK, PIECE = 1024, 128
 
 
 def chunks(sequences: DataFrame, id_col: str = "seq_id", chunk: int = CHUNK, overlap: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, chunk_id, bases): pieces of `chunk` bases, each with up to `overlap` (at most chunk) bases of the next one, in one pass over a sequence."""
     pieces = sequences.select(id_col, *keep, F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("_p"))
-    at = pieces.select(id_col, *keep, "_p", F.posexplode("_p").alias("chunk_id", "bases"))
+    at = pieces.select(id_col, *keep, "_p", F.posexplode_outer("_p").alias("chunk_id", "bases")).where("bases is not null")
     tail = F.substring(F.coalesce(F.get("_p", F.col("chunk_id") + 1), F.lit("")), 1, overlap)
     return at.select(id_col, *keep, "chunk_id", (F.concat("bases", tail) if overlap else F.col("bases")).alias("bases"))
 
 
-def windows(sequences: DataFrame, word_len: int = 15, skip: int = 1, id_col: str = "seq_id", keep: tuple[str, ...] = (), pos_col: str = "pos") -> DataFrame:
-    """(id, *keep, pos, kmer): every window whose start is a multiple of skip, as text; sequences shorter than word_len have none."""
-    size = CHUNK - CHUNK % skip
+def _windows(sequences: DataFrame, word_len: int, skip: int, id_col: str, keep: tuple[str, ...], pos_col: str, letters: str) -> DataFrame:
+    """Windows of ACGT alone as text over other letters: what can be done per piece is not done per window."""
+    size = max(skip, PIECE - PIECE % skip)
     cut = chunks(sequences, id_col, size, word_len - 1, keep)
-    starts = F.when(F.length("bases") >= word_len, F.sequence(F.lit(0), F.length("bases") - word_len, F.lit(skip)))
-    each = cut.select(id_col, *keep, "chunk_id", "bases", F.explode(starts).alias("_i"))
-    return each.select(id_col, *keep, (F.col("chunk_id") * size + F.col("_i")).cast("int").alias(pos_col), F.substring("bases", F.col("_i") + 1, F.lit(word_len)).alias("kmer"))
+    every = F.sequence(F.lit(0), F.length("bases") - word_len, F.lit(skip))
+    clean = F.filter(every, lambda i: ~F.substring("bases", i + 1, F.lit(word_len)).rlike("[^ACGT]"))
+    starts = F.when(F.length("bases") < word_len, None).when(F.col("bases").rlike("[^ACGT]"), clean).otherwise(every)
+    shown = F.translate("bases", "TCAG", letters) if letters != "TCAG" else F.col("bases")
+    ready = cut.select(id_col, *keep, "chunk_id", shown.alias("_b"), starts.alias("_s"))  # apart from explode, which evaluates its neighbours per row
+    each = ready.select(id_col, *keep, "chunk_id", "_b", F.explode_outer("_s").alias("_i")).where("_i is not null")
+    return each.select(id_col, *keep, (F.col("chunk_id") * size + F.col("_i")).cast("int").alias(pos_col), F.substring("_b", F.col("_i") + 1, F.lit(word_len)).alias("kmer"))
+
+
+def windows(sequences: DataFrame, word_len: int = 15, skip: int = 1, id_col: str = "seq_id", keep: tuple[str, ...] = (), pos_col: str = "pos") -> DataFrame:
+    """(id, *keep, pos, kmer string): every window of ACGT alone whose start is a multiple of skip; sequences shorter than word_len have none."""
+    return _windows(sequences, word_len, skip, id_col, keep, pos_col, "TCAG")
 
 
 def kmers(sequences: DataFrame, word_len: int = 15, skip: int = 1, id_col: str = "seq_id", keep: tuple[str, ...] = (), pos_col: str = "pos") -> DataFrame:
-    """(id, *keep, pos, kmer bigint): the windows of ACGT alone, packed."""
-    found = windows(sequences, word_len, skip, id_col, keep, pos_col)
-    return found.withColumn("kmer", pack_kmer(F.col("kmer"))).where("kmer is not null")
+    """(id, *keep, pos, kmer bigint): the same, packed."""
+    return _windows(sequences, word_len, skip, id_col, keep, pos_col, "0123").withColumn("kmer", F.conv("kmer", 4, 10).cast("bigint"))
 
 
 def kmer_counts(index: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def read_kmers(stranded: DataFrame, word_len: int) -> DataFrame:
 
 def read_windows(stranded: DataFrame, word_len: int) -> DataFrame:
     """As read_kmers, with k-mers as text."""
-    return windows(stranded, word_len, 1, "query_id", ("strand",), "qo").where(~F.col("kmer").rlike("[^ACGT]"))
+    return windows(stranded, word_len, 1, "query_id", ("strand",), "qo")
 
 
 def seed_hits(wanted: DataFrame, index: DataFrame, counts: DataFrame, p: AlignParams) -> DataFrame:
