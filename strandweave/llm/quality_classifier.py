@@ -78,7 +78,7 @@ class Model:
 
 
 def train(texts: list[str | None], y: np.ndarray, epochs: int = 6, rate: float = 0.6, batch: int = 64, seed: int = 11) -> Model:
-    """Mini-batch SGD with AdaGrad steps on embeddings and softmax weights."""
+    """Mini-batch SGD with AdaGrad steps on embeddings and softmax weights. Rows of fewer than two classes teach no words: every text then scores by the smoothed class share."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
     docs = []
@@ -95,7 +95,9 @@ def train(texts: list[str | None], y: np.ndarray, epochs: int = 6, rate: float =
     b = np.log(np.array([(y == 0).sum() + 1, (y == 1).sum() + 1], np.float32) / (len(y) + 2))
     ge, gw, gb = np.full(BUCKETS, 1e-6, np.float32), np.full_like(w, 1e-6), np.full_like(b, 1e-6)
     hot = np.stack([y == 0, y == 1], 1).astype(np.float32)
-    for _ in range(epochs if len(set(y.tolist())) > 1 else 0):
+    if len(set(y.tolist())) < 2:
+        return Model(np.zeros(BUCKETS), float(b[1] - b[0]))
+    for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
