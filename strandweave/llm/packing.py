@@ -356,7 +356,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_steps: int = MAX_STEPS
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Tokenises whole texts, cuts documents longer than the capacity, and packs the pieces.
 
-    A null or empty text is the end id alone. Extra columns are ignored.
+    A null or empty text is the end id alone. Rows with a null or repeated
+    doc_id are packed one by one; an empty table gives no rows; extra columns
+    are ignored.
     """
     packed = pack(materialize(tokenize(docs, tokenizer_path, capacity), "pieces"), capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -146,8 +146,9 @@ def fit(found: DataFrame) -> list[float] | None:
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans): counts of base spans, and both lists as kind:start:end by start.
 
-    A null text is empty and has no span; repeated rows are searched one by
-    one; extra columns are ignored. Loose spans that overlap a base span are dropped.
+    A null text is empty and has no span; repeated rows and rows with a null
+    id are searched one by one; an empty table gives no rows; extra columns
+    are ignored. Loose spans that overlap a base span are dropped.
     """
     found = candidates(docs, id_col, text_col)
     weights = fit(found)

@@ -132,7 +132,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted) for every row; a text without words scores the model's offset alone."""
+    """(doc_id, score, predicted) for every row, those with null or repeated ids too.
+
+    A null text or one without words scores the model's offset alone; an empty
+    table gives no rows; extra columns are ignored.
+    """
     prepare(docs.sparkSession)
 
     def run(batches):

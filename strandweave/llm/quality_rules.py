@@ -95,7 +95,9 @@ def apply_rules(docs: DataFrame, model: Forest | None, threshold: float = THRESH
     """Per row: doc_id, the base statistics, base_failed, kept, score; then the columns named in keep.
 
     A null or empty text has no words and fails the base rules. Repeated rows
-    are judged one by one; without a model the base rules decide alone.
+    and rows with a null id are judged one by one; an empty table gives no
+    rows; other columns are ignored, whatever their names. Without a model the
+    base rules decide alone.
     """
     prepare(docs.sparkSession)
     keep = keep or []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import chat_quotes, decontamination, packing, pii, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
+from strandweave.llm import chat_quotes, decontamination, oracle, packing, pii, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
 from strandweave.llm.common import table
 
 
@@ -71,4 +71,9 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others need a trained model, a seeded hash or a tokenizer; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op3_decontamination": oracle.DECONTAMINATION,
+    "op9_chat_quotes": oracle.CHAT_QUOTES,
+}

@@ -156,7 +156,9 @@ def judged(text: str, model: Forest, threshold: float) -> list[tuple[int, int, f
 def scan(docs: DataFrame, model: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, start, stop, score, secret_sha256): one row per secret, in code points.
 
-    Null and empty texts have none; repeated rows report repeatedly; extra columns are ignored.
+    Null and empty texts have none; repeated rows report repeatedly; rows with
+    a null id report with it; an empty table gives no rows; extra columns are
+    ignored.
     """
     prepare(docs.sparkSession)
 

@@ -164,7 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 
 
 def score_documents(docs: DataFrame, chain: Chain | None) -> DataFrame:
-    """(doc_id, toxic, persistent, dense): probabilities for every row; all 0 without a model. Null texts have no words."""
+    """(doc_id, toxic, persistent, dense): probabilities for every row, those with null or repeated ids too; all 0 without a model.
+
+    Null texts have no words; an empty table gives no rows; extra columns are ignored.
+    """
     prepare(docs.sparkSession)
 
     def run(batches):
