@@ -6,12 +6,15 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.session import ship
 
 ARROW_ROWS = 1000
+ONE_TASK_EDGES = 500_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -58,10 +61,37 @@ def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node index reachable from each of n nodes over links a-b."""
+    label = np.arange(n)
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return label
+        low = np.minimum(la, lb)
+        np.minimum.at(label, la, low)
+        np.minimum.at(label, lb, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _solve(batches):
+    """(node, root) of all edges (u, v) of one task."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate(c) for c in zip(*parts))
+    nodes = np.unique(np.concatenate([u, v]))
+    root = nodes[smallest_labels(len(nodes), np.searchsorted(nodes, u), np.searchsorted(nodes, v))]
+    for at in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 100_000]), pa.array(root[at : at + 100_000])], ["node", "root"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, root): root is the smallest node reachable over edges (a long, b long).
 
-    Alternates the large-star and small-star steps; each round is written to
+    Up to one_task distinct edges, a bound of 16 bytes each, are solved in one
+    task. Beyond, it alternates the large-star and small-star steps; each round is written to
     the shared folder. Hubs are safe: minima are partially aggregated, and
     the joins back are plain equi-joins that adaptive execution may split.
     Nodes without an edge do not appear.
@@ -74,6 +104,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == mark or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        if now[0] <= one_task:
+            return materialize(e.repartition(1).mapInArrow(_solve, "node long, root long"), label)
         mark = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

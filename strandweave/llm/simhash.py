@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import connected_components, materialize, prepare
+from strandweave.llm.common import connected_components, materialize, prepare, smallest_labels
 
 BITS = 64
 BLOCK_VARIANTS = 4_000_000
@@ -89,20 +89,6 @@ def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node index reachable from each of n nodes over links a-b."""
-    label = np.arange(n)
-    while True:
-        la, lb = label[a], label[b]
-        if (la == lb).all():
-            return label
-        low = np.minimum(la, lb)
-        np.minimum.at(label, la, low)
-        np.minimum.at(label, lb, low)
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def _collisions(values: np.ndarray, owner: np.ndarray, left: np.ndarray, bit: int, out: list) -> None:
     """Links owners that share a variant. values have been flipped above `bit`; left is how many flips each may still make below."""
     if len(values) < 2:
@@ -149,7 +135,7 @@ def ball_links(fps: np.ndarray, prefix: int, prefix_bits: int, half: int) -> np.
     if not out:
         return np.empty((0, 2), np.uint64)
     pairs = np.concatenate(out)
-    label = _labels(len(fps), pairs[:, 0], pairs[:, 1])
+    label = smallest_labels(len(fps), pairs[:, 0], pairs[:, 1])
     moved = label != np.arange(len(fps))
     return np.stack([fps[moved], fps[label[moved]]], 1)
 
@@ -175,7 +161,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
     """(doc_id, fp long, component_id): the smallest id reachable over links of `radius` or fewer bits.
 
     Null and blank texts have fingerprint 0 and link like any other; repeated
-    rows of one id stay; an empty table gives no rows; extra columns are ignored.
+    rows of one id stay; rows with a null id get the component of their text
+    but never name one; an empty table gives no rows; extra columns are ignored.
     Copies collapse to one fingerprint before any linking, and their ids to a minimum.
     """
     fps = materialize(fingerprints(docs, k, id_col, text_col), "fingerprints")
@@ -201,7 +188,8 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
     documents meet the smallest and the largest id there, which partial
     aggregation finds whatever the key's size; only pairs that fingerprints
     have not linked yet are then compared, by their whole shingle sets.
-    Null and blank texts link to each other by their fingerprint alone.
+    Null and blank texts link to each other by their fingerprint alone; rows
+    with a null id are dropped; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")

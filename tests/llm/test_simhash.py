@@ -99,8 +99,9 @@ def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 500)]
     df = spark.createDataFrame(chain + star + [(7, 7), (None, 3)], "a long, b long")
-    got = dict(map(tuple, connected_components(df).collect()))
-    assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(500)) and len(got) == 701
+    for one_task in (500_000, 0):
+        got = dict(map(tuple, connected_components(df, one_task=one_task).collect()))
+        assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(500)) and len(got) == 701
 
 
 def test_near_copies_down_to_a_similarity_of_four_fifths(make_docs, odd_rows):
