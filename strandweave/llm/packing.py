@@ -25,7 +25,7 @@ from strandweave.llm.common import materialize, prepare
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 MAX_STEPS = 2000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
