@@ -207,16 +207,16 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
             columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sets, np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "set", "n", "keys"])
 
-    known = materialize(src.mapInArrow(sketch, "id long, fp long, set long, n long, keys array<long>"), "sketches")
-    grouped = materialize(_components(known.select("id", "fp", "set"), radius).select("id", "set", "component_id"), "linked")
+    known = materialize(src.mapInArrow(sketch, "id long, fp long, set long, n long, keys array<long>"), "sketches", release=True)
+    grouped = materialize(_components(known.select("id", "fp", "set"), radius).select("id", "set", "component_id"), "linked", release=True)
     # one document speaks for all with its set of shingles
     lead = grouped.groupBy("set").agg(F.min(F.struct("id", "component_id")).alias("lead")).select("lead.*")
     told = known.select("id", "n", "keys").join(lead, "id").select("id", "n", "component_id", F.explode("keys").alias("key"))
-    told = materialize(told, "keys")
+    told = materialize(told, "keys", release=True)
     ends = told.groupBy("key").agg(F.min(F.struct("id", "n", "component_id")).alias("low"), F.max(F.struct("id", "n", "component_id")).alias("high")).where("low.id <> high.id")
     met = told.join(ends, "key").select("id", "n", "component_id", F.explode(F.array("low", "high")).alias("to"))
     alike = F.least("n", "to.n") * 100 >= F.greatest("n", "to.n") * min_percent
-    pairs = materialize(met.where(alike & (F.col("component_id") != F.col("to.component_id"))).select("id", "component_id", F.col("to.id").alias("to_id"), F.col("to.component_id").alias("to_component")).distinct(), "candidates")
+    pairs = materialize(met.where(alike & (F.col("component_id") != F.col("to.component_id"))).select("id", "component_id", F.col("to.id").alias("to_id"), F.col("to.component_id").alias("to_component")).distinct(), "candidates", release=True)
 
     def sets_of(batches):
         for b in batches:
@@ -224,7 +224,7 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "s"])
 
     wanted = pairs.select("id").unionByName(pairs.select(F.col("to_id").alias("id"))).distinct()
-    sets = materialize(src.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets_of, "id long, s array<long>").dropDuplicates(["id"]), "sets")
+    sets = materialize(src.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets_of, "id long, s array<long>"), "sets", release=True)  # repeated ids may repeat a link, no more
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("to_id"), F.col("s").alias("to_s")), "to_id")
     shared = F.size(F.array_intersect("s", "to_s"))
     close = both.withColumn("_i", shared).where(F.col("_i") * 100 >= (F.size("s") + F.size("to_s") - F.col("_i")) * min_percent)
