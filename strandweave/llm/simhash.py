@@ -26,6 +26,7 @@ BITS = 64
 BLOCK_VARIANTS = 4_000_000
 FINGERPRINTS_PER_PREFIX = 1_000
 BANDS, ROWS = 16, 4
+PIVOT_ROUNDS = 2
 
 _rng = np.random.default_rng(64)
 _ODD = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -184,53 +185,87 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
 
     At four bits of 64, fingerprints alone find nearly all pairs from 0.9 on,
     but few at 0.8. Each document therefore also has 16 keys of four minimum
-    hashes, which share one with probability 0.9998 at 0.8. On each key,
-    documents meet the smallest and the largest id there, which partial
-    aggregation finds whatever the key's size; only pairs that fingerprints
-    have not linked yet are then compared, by their whole shingle sets.
+    hashes, which share one with probability 0.9998 at 0.8. All pairs of a key
+    that nothing links yet are compared, by their whole shingle sets: first
+    with the member that meets most others, which an original does among its
+    copies, then every pair that is left.
     Null and blank texts link to each other by their fingerprint alone; rows
     with a null id are dropped; an empty table gives no rows.
     """
+    return copy_groups(docs, k, radius, min_percent, id_col, text_col).select(F.col("id").alias("doc_id"), "component_id")
+
+
+def copy_groups(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, name long, component_id, group long): a row per row of docs with an id, by near_copies. name is the xxhash64 of the text; rows of one id are judged by their own texts, so that several groups may have the same smallest id."""
     prepare(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("name"), text.alias("text")).where("id is not null")
 
     def sketch(batches):
         for b in batches:
             fps, sets, sizes, keys = [], [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 every = shingle_hashes((t or "").encode(), k)
                 own = np.unique(every)
                 fps.append(fingerprint(every))
                 sets.append(_set_name(own))
                 sizes.append(len(own))
                 keys.append(band_keys(own))
-            columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sets, np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "set", "n", "keys"])
-
-    known = materialize(src.mapInArrow(sketch, "id long, fp long, set long, n long, keys array<long>"), "sketches", release=True)
-    grouped = materialize(_components(known.select("id", "fp", "set"), radius).select("id", "set", "component_id"), "linked", release=True)
-    # one document speaks for all with its set of shingles
-    lead = grouped.groupBy("set").agg(F.min(F.struct("id", "component_id")).alias("lead")).select("lead.*")
-    told = known.select("id", "n", "keys").join(lead, "id").select("id", "n", "component_id", F.explode("keys").alias("key"))
-    told = materialize(told, "keys", release=True)
-    ends = told.groupBy("key").agg(F.min(F.struct("id", "n", "component_id")).alias("low"), F.max(F.struct("id", "n", "component_id")).alias("high")).where("low.id <> high.id")
-    met = told.join(ends, "key").select("id", "n", "component_id", F.explode(F.array("low", "high")).alias("to"))
-    alike = F.least("n", "to.n") * 100 >= F.greatest("n", "to.n") * min_percent
-    pairs = materialize(met.where(alike & (F.col("component_id") != F.col("to.component_id"))).select("id", "component_id", F.col("to.id").alias("to_id"), F.col("to.component_id").alias("to_component")).distinct(), "candidates", release=True)
+            columns = [b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sets, np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "name", "fp", "set", "n", "keys"])
+
+    known = materialize(src.mapInArrow(sketch, "id long, name long, fp long, set long, n long, keys array<long>"), "sketches", release=True)
+    labels = link_fingerprints(known.select("fp").distinct(), radius).withColumnRenamed("node", "fp")
+    # graph nodes are fingerprints, not ids, which rows with different texts may share
+    rows = materialize(known.select("id", "name", "fp", "set").join(labels, "fp", "left").select("id", "name", "set", F.coalesce("root", "fp").alias("node")), "linked", release=True)
+    # one text speaks for all with its set of shingles
+    lead = rows.groupBy("set").agg(F.min(F.struct("node", "id", "name")).alias("lead")).select("set", "lead.*")
+    lead = materialize(lead, "leads", release=True)
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    keys = known.select("id", "name", "set", "n", "keys").join(lead.select("id", "name", "set", "node"), ["id", "name", "set"])
+    told = materialize(keys.select("set", "n", "node", F.explode("keys").alias("key")), "keys", release=True)
+    live = materialize(_open(told, connected_components(links)).distinct(), "open", release=True)
+    score = live.join(live.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key").groupBy("set").agg(F.sum("members").alias("score"))
+    live = materialize(live.drop("at").join(score, "set"), "scored", release=True)
 
     def sets_of(batches):
         for b in batches:
-            rows = [np.unique(shingle_hashes((t or "").encode(), k)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "s"])
-
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("to_id").alias("id"))).distinct()
-    sets = materialize(src.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets_of, "id long, s array<long>"), "sets", release=True)  # repeated ids may repeat a link, no more
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("to_id"), F.col("s").alias("to_s")), "to_id")
-    shared = F.size(F.array_intersect("s", "to_s"))
-    close = both.withColumn("_i", shared).where(F.col("_i") * 100 >= (F.size("s") + F.size("to_s") - F.col("_i")) * min_percent)
-    merged = connected_components(close.select(F.col("component_id").alias("a"), F.col("to_component").alias("b")).distinct())
-    out = grouped.join(merged.withColumnRenamed("node", "component_id"), "component_id", "left")
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("root", "component_id").alias("component_id"))
+            own = [np.unique(shingle_hashes((t or "").encode(), k)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_name(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["set", "s"])
+
+    wanted = lead.join(live.select("set").distinct(), "set", "left_semi").select("id", "name")
+    sets = materialize(src.join(wanted, ["id", "name"], "left_semi").select("text").mapInArrow(sets_of, "set long, s array<long>"), "sets", release=True)  # repeated rows may repeat a link, no more
+
+    for turn in range(PIVOT_ROUNDS + 1):
+        now = materialize(_open(live, connected_components(links)), "round", release=True)
+        if now.isEmpty():
+            break
+        if turn < PIVOT_ROUNDS:
+            # members that spoke for a key before have met all others there
+            pivots = now.groupBy("key").agg(F.max(F.struct("score", "set", "n", "node", "at")).alias("to"))
+            met = now.join(pivots, "key")
+        else:
+            met = now.join(now.select("key", F.struct("set", "n", "node", "at").alias("to")), "key").where("set < to.set")
+        alike = F.least("n", "to.n") * 100 >= F.greatest("n", "to.n") * min_percent
+        pairs = met.where(alike & (F.col("at") != F.col("to.at"))).select("set", "node", F.col("to.set").alias("to_set"), F.col("to.node").alias("to_node")).distinct()
+        pairs = materialize(pairs, "candidates", release=True)
+        both = pairs.join(sets, "set").join(sets.select(F.col("set").alias("to_set"), F.col("s").alias("to_s")), "to_set")
+        close = both.withColumn("_i", F.size(F.array_intersect("s", "to_s"))).where(F.col("_i") * 100 >= (F.size("s") + F.size("to_s") - F.col("_i")) * min_percent)
+        found = materialize(close.select(F.col("node").alias("a"), F.col("to_node").alias("b")).distinct(), "found", release=True)
+        links = links.unionByName(found)
+        if turn < PIVOT_ROUNDS:
+            spoke = pivots.select("key", "to.set")
+            live = now.drop("at").join(spoke, ["key", "set"], "left_anti")
+    told = rows.join(connected_components(links), "node", "left").select("id", "name", F.coalesce("root", "node").alias("root"))
+    told = materialize(told, "merged", release=True)
+    return told.join(told.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "name", "component_id", F.col("root").alias("group"))
+
+
+def _open(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """The members (set, node, key, ...) of keys that hold more than one component, with the component as `at`."""
+    now = members.join(merged.select("node", "root"), "node", "left").withColumn("at", F.coalesce("root", "node")).drop("root")
+    some = now.groupBy("key").agg(F.min("at").alias("_low"), F.max("at").alias("_high")).where("_low <> _high").select("key")
+    return now.join(some, "key", "left_semi")
 
 
 def _set_name(hashes: np.ndarray) -> int:

@@ -130,3 +130,43 @@ def test_near_copies_down_to_a_similarity_of_four_fifths(make_docs, odd_rows):
 def test_band_keys_do_not_depend_on_order():
     a = np.array([random.Random(1).getrandbits(64) for _ in range(9000)], np.uint64)
     assert (simhash.band_keys(a) == simhash.band_keys(a[::-1])).all() and len(simhash.band_keys(a[:0])) == 0
+
+
+def star(r, words, copies, changes, length=200):
+    """A text and copies of it, each with its own words put in at random places."""
+    base = [r.choice(words) for _ in range(length)]
+    texts = []
+    for c in range(copies):
+        w = list(base)
+        for i, at in enumerate(r.sample(range(length), changes)):
+            w[at] = f"new{c}x{i}"
+        texts.append(" ".join(w))
+    return " ".join(base), texts
+
+
+def test_near_copies_of_large_stars_and_of_families_that_share_keys(make_docs):
+    from support import brute_components
+
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows = []
+    for at, (copies, changes) in enumerate([(300, 4), (200, 3)]):
+        base, texts = star(r, words, copies, changes)
+        # the original's id lies between its copies' ids
+        rows += [(1000 * at + i, t) for i, t in enumerate(texts[: copies // 2] + [base] + texts[copies // 2 :])]
+    frame = [r.choice(words) for _ in range(200)]
+    for family in range(30):
+        base = list(frame)
+        for at in range(0, 200, 25):
+            base[at] = f"f{family}x{at}"
+        for c in range(3):
+            w = list(base)
+            for i in range(c * 3):
+                w[r.randrange(200)] = f"f{family}c{c}x{i}"
+            rows.append((9000 - len(rows), " ".join(w)))
+    groups = {}
+    for d, c in simhash.near_copies(make_docs(rows)).collect():
+        groups.setdefault(c, set()).add(d)
+    want = sorted(map(sorted, brute_components(rows, 5)))
+    assert 3 < len(want) < len(rows)
+    assert sorted(map(sorted, groups.values())) == want
