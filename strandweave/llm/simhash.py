@@ -218,10 +218,11 @@ def copy_groups(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
     labels = link_fingerprints(known.select("fp").distinct(), radius).withColumnRenamed("node", "fp")
     # graph nodes are fingerprints, not ids, which rows with different texts may share
     rows = materialize(known.select("id", "name", "fp", "set").join(labels, "fp", "left").select("id", "name", "set", F.coalesce("root", "fp").alias("node")), "linked", release=True)
-    # one text speaks for all with its set of shingles
-    lead = rows.groupBy("set").agg(F.min(F.struct("node", "id", "name")).alias("lead")).select("set", "lead.*")
+    # one text speaks for all with its set of shingles, and its node is linked to all of theirs
+    lead = rows.groupBy("set").agg(F.min(F.struct("node", "id", "name")).alias("lead"), F.max("node").alias("_top")).select("set", "lead.*", "_top")
     lead = materialize(lead, "leads", release=True)
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    several = lead.where("node <> _top").select("set", F.col("node").alias("b"))
+    links = materialize(rows.join(several, "set").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "links")
     keys = known.select("id", "name", "set", "n", "keys").join(lead.select("id", "name", "set", "node"), ["id", "name", "set"])
     told = materialize(keys.select("set", "n", "node", F.explode("keys").alias("key")), "keys", release=True)
     live = materialize(_open(told, connected_components(links)).distinct(), "open", release=True)

@@ -170,3 +170,15 @@ def test_near_copies_of_large_stars_and_of_families_that_share_keys(make_docs):
     want = sorted(map(sorted, brute_components(rows, 5)))
     assert 3 < len(want) < len(rows)
     assert sorted(map(sorted, groups.values())) == want
+
+
+def test_near_copies_with_equal_sets_and_far_fingerprints(make_docs):
+    r = random.Random(23)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows = []
+    while len(rows) < 20:
+        x, y = ([r.choice(words) for _ in range(n)] for n in (30, 60))
+        one, two = " ".join(x + x + y), " ".join(x + x + x + y)
+        if (simhash.fingerprint_bytes(one.encode(), 5) ^ simhash.fingerprint_bytes(two.encode(), 5)).bit_count() > 4:
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+    assert sorted(map(tuple, simhash.near_copies(make_docs(rows)).collect())) == [(i, i - i % 2) for i in range(20)]
