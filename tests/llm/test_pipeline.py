@@ -50,3 +50,11 @@ def test_stages_on_awkward_tables(spark, make_docs, odd_rows):
             out.collect()
         kept = pipeline.near_duplicates(spark, docs, "")
         assert kept.where("doc_id is null").count() == sum(r[0] is None for r in rows)
+
+
+def test_rows_without_an_id_and_rows_that_share_one(spark, make_docs):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red orange yellow green blue violet")
+    rows = [(None, a), (None, b), (None, c), (1, a), (1, b), (2, a), (3, c), (3, c), (4, None), (4, None), (None, None)]
+    kept = pipeline.near_duplicates(spark, make_docs(rows), "")
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=key) == sorted([(None, a), (None, b), (None, c), (None, None), (1, a), (1, b), (3, c), (4, None)], key=key)
