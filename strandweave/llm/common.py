@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
 
@@ -15,6 +15,8 @@ from strandweave.session import ship
 
 ARROW_ROWS = 1000
 ONE_TASK_EDGES = 500_000
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
@@ -46,19 +48,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+def _folder(spark: SparkSession) -> str:
+    """This application's folder below the shared one; it goes when the interpreter ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark).rstrip('/')}/strandweave-{sc.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session can delete nothing
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    release lets Spark's cleaner drop the shuffle files behind df at once,
-    which otherwise stay until the driver happens to collect garbage.
+    The shuffle files behind df go once it is written, as nothing reads them again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before) if before is not None else spark.conf.unset(_DROP_SHUFFLES)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandweave_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later result reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._strandweave_path)
 
 
 def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,30 +114,33 @@ def _solve(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 100_000]), pa.array(root[at : at + 100_000])], ["node", "root"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, root): root is the smallest node reachable over edges (a long, b long).
 
     Up to one_task distinct edges, a bound of 16 bytes each, are solved in one
-    task. Beyond, it alternates the large-star and small-star steps; each round is written to
-    the shared folder. Hubs are safe: minima are partially aggregated, and
-    the joins back are plain equi-joins that adaptive execution may split.
-    Nodes without an edge do not appear.
+    task. Beyond, it alternates the large-star and small-star steps until
+    nothing changes; each round is written to the shared folder. Hubs are
+    safe: minima are partially aggregated, and the joins back are plain
+    equi-joins that adaptive execution may split. Null ends and loops are
+    ignored; nodes without an edge do not appear.
     """
     label = "components"
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, label)
     mark = None
-    for _ in range(max_rounds):
+    while True:
         now = tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == mark or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         if now[0] <= one_task:
-            return materialize(e.repartition(1).mapInArrow(_solve, "node long, root long"), label)
+            solved = materialize(e.repartition(1).mapInArrow(_solve, "node long, root long"), label)
+            discard(e)
+            return solved
         mark = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(low2.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), label)
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        last, e = e, materialize(low2.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), label)
+        discard(last)

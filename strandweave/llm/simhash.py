@@ -17,10 +17,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import connected_components, materialize, prepare, smallest_labels
+from strandweave.llm.common import connected_components, discard, materialize, prepare, smallest_labels
 
 BITS = 64
 BLOCK_VARIANTS = 4_000_000
@@ -136,6 +136,8 @@ def ball_links(fps: np.ndarray, prefix: int, prefix_bits: int, half: int) -> np.
     if not out:
         return np.empty((0, 2), np.uint64)
     pairs = np.concatenate(out)
+    if (np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) > 2 * half).any():
+        raise AssertionError("fingerprints that share a variant lie within the radius")
     label = smallest_labels(len(fps), pairs[:, 0], pairs[:, 1])
     moved = label != np.arange(len(fps))
     return np.stack([fps[moved], fps[label[moved]]], 1)
@@ -185,18 +187,23 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
 
     At four bits of 64, fingerprints alone find nearly all pairs from 0.9 on,
     but few at 0.8. Each document therefore also has 16 keys of four minimum
-    hashes, which share one with probability 0.9998 at 0.8. All pairs of a key
-    that nothing links yet are compared, by their whole shingle sets: first
+    hashes, which share one with probability 0.9998 at 0.8. Members of a key
+    that nothing links yet are compared by their whole shingle sets: first
     with the member that meets most others, which an original does among its
-    copies, then every pair that is left.
+    copies, and what is left by the rarest shingles of each set, one of which
+    any pair of the wanted similarity must share.
     Null and blank texts link to each other by their fingerprint alone; rows
-    with a null id are dropped; an empty table gives no rows.
+    with a null id are dropped; repeated rows stay; an empty table gives no
+    rows; extra columns are ignored.
     """
     return copy_groups(docs, k, radius, min_percent, id_col, text_col).select(F.col("id").alias("doc_id"), "component_id")
 
 
 def copy_groups(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, name long, component_id, group long): a row per row of docs with an id, by near_copies. name is the xxhash64 of the text; rows of one id are judged by their own texts, so that several groups may have the same smallest id."""
+    """(id, name long, component_id, group long): a row per row of docs with an id, by near_copies. name is the xxhash64 of the text; rows of one id are judged by their own texts, so that several groups may have the same smallest id.
+
+    Joins with a side that grows are hinted to shuffle, so that the plan is the same at every size. Whole texts move once, to fetch those that share a key.
+    """
     prepare(docs.sparkSession)
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("name"), text.alias("text")).where("id is not null")
@@ -214,59 +221,87 @@ def copy_groups(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
             columns = [b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sets, np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "name", "fp", "set", "n", "keys"])
 
-    known = materialize(src.mapInArrow(sketch, "id long, name long, fp long, set long, n long, keys array<long>"), "sketches", release=True)
+    known = materialize(src.mapInArrow(sketch, "id long, name long, fp long, set long, n long, keys array<long>"), "sketches")
     labels = link_fingerprints(known.select("fp").distinct(), radius).withColumnRenamed("node", "fp")
     # graph nodes are fingerprints, not ids, which rows with different texts may share
-    rows = materialize(known.select("id", "name", "fp", "set").join(labels, "fp", "left").select("id", "name", "set", F.coalesce("root", "fp").alias("node")), "linked", release=True)
+    rows = materialize(known.select("id", "name", "fp", "set", "n").join(labels.hint("merge"), "fp", "left").select("id", "name", "set", "n", F.coalesce("root", "fp").alias("node")), "linked")
     # one text speaks for all with its set of shingles, and its node is linked to all of theirs
-    lead = rows.groupBy("set").agg(F.min(F.struct("node", "id", "name")).alias("lead"), F.max("node").alias("_top")).select("set", "lead.*", "_top")
-    lead = materialize(lead, "leads", release=True)
+    lead = materialize(rows.groupBy("set").agg(F.min(F.struct("node", "id", "name", "n")).alias("lead"), F.max("node").alias("_top")).select("set", "lead.*", "_top"), "leads")
     several = lead.where("node <> _top").select("set", F.col("node").alias("b"))
-    links = materialize(rows.join(several, "set").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "links")
-    keys = known.select("id", "name", "set", "n", "keys").join(lead.select("id", "name", "set", "node"), ["id", "name", "set"])
-    told = materialize(keys.select("set", "n", "node", F.explode("keys").alias("key")), "keys", release=True)
-    live = materialize(_open(told, connected_components(links)).distinct(), "open", release=True)
-    score = live.join(live.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key").groupBy("set").agg(F.sum("members").alias("score"))
-    live = materialize(live.drop("at").join(score, "set"), "scored", release=True)
+    links = materialize(rows.join(several.hint("merge"), "set").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "links")
+    # keys of one set are the same wherever it is: a key counts once per set
+    key = materialize(known.select("set", F.explode("keys").alias("key")).distinct(), "keys")
+    discard(known)
+    shared = key.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = materialize(key.join(shared.hint("merge"), "key"), "shared")
+    discard(key)
+    score = met.groupBy("set").agg(F.sum("members").alias("score")).join(lead.hint("merge"), "set").select("set", "score", "n", "node", "id", "name")
+    score = materialize(score, "scores")
+    live = materialize(met.select("set", "key").join(score.select("set", "score", "n", "node").hint("merge"), "set"), "live")
+    discard(met)
+    live = _open(live, connected_components(links))
 
     def sets_of(batches):
         for b in batches:
             own = [np.unique(shingle_hashes((t or "").encode(), k)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_set_name(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["set", "s"])
 
-    wanted = lead.join(live.select("set").distinct(), "set", "left_semi").select("id", "name")
-    sets = materialize(src.join(wanted, ["id", "name"], "left_semi").select("text").mapInArrow(sets_of, "set long, s array<long>"), "sets", release=True)  # repeated rows may repeat a link, no more
+    wanted = score.join(live.select("set").distinct().hint("merge"), "set", "left_semi").select("id", "name")
+    # a repeated row may repeat a link, no more
+    sets = materialize(src.join(wanted.hint("merge"), ["id", "name"], "left_semi").select("text").mapInArrow(sets_of, "set long, s array<long>"), "sets")
 
-    for turn in range(PIVOT_ROUNDS + 1):
-        now = materialize(_open(live, connected_components(links)), "round", release=True)
-        if now.isEmpty():
-            break
-        if turn < PIVOT_ROUNDS:
-            # members that spoke for a key before have met all others there
-            pivots = now.groupBy("key").agg(F.max(F.struct("score", "set", "n", "node", "at")).alias("to"))
-            met = now.join(pivots, "key")
-        else:
-            met = now.join(now.select("key", F.struct("set", "n", "node", "at").alias("to")), "key").where("set < to.set")
-        alike = F.least("n", "to.n") * 100 >= F.greatest("n", "to.n") * min_percent
-        pairs = met.where(alike & (F.col("at") != F.col("to.at"))).select("set", "node", F.col("to.set").alias("to_set"), F.col("to.node").alias("to_node")).distinct()
-        pairs = materialize(pairs, "candidates", release=True)
-        both = pairs.join(sets, "set").join(sets.select(F.col("set").alias("to_set"), F.col("s").alias("to_s")), "to_set")
+    def add(pairs: DataFrame) -> DataFrame:
+        """links and those of the pairs (set, node, to_set, to_node) that are alike."""
+        both = pairs.join(sets.hint("merge"), "set").join(sets.select(F.col("set").alias("to_set"), F.col("s").alias("to_s")).hint("merge"), "to_set")
         close = both.withColumn("_i", F.size(F.array_intersect("s", "to_s"))).where(F.col("_i") * 100 >= (F.size("s") + F.size("to_s") - F.col("_i")) * min_percent)
-        found = materialize(close.select(F.col("node").alias("a"), F.col("to_node").alias("b")).distinct(), "found", release=True)
-        links = links.unionByName(found)
-        if turn < PIVOT_ROUNDS:
-            spoke = pivots.select("key", "to.set")
-            live = now.drop("at").join(spoke, ["key", "set"], "left_anti")
-    told = rows.join(connected_components(links), "node", "left").select("id", "name", F.coalesce("root", "node").alias("root"))
-    told = materialize(told, "merged", release=True)
-    return told.join(told.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "name", "component_id", F.col("root").alias("group"))
+        return links.unionByName(materialize(close.select(F.col("node").alias("a"), F.col("to_node").alias("b")).distinct(), "found"))
+
+    alike = F.least("n", "to.n") * 100 >= F.greatest("n", "to.n") * min_percent
+    for _ in range(PIVOT_ROUNDS):
+        if live.isEmpty():
+            break
+        pivots = live.groupBy("key").agg(F.max(F.struct("score", "set", "n", "node", "at")).alias("to"))
+        pairs = live.join(pivots.hint("merge"), "key").where(alike & (F.col("at") != F.col("to.at"))).select("set", "node", F.col("to.set").alias("to_set"), F.col("to.node").alias("to_node")).distinct()
+        links = add(materialize(pairs, "candidates"))
+        # pivots have met all other members of their keys
+        rest = live.drop("at").join(pivots.select("key", "to.set").hint("merge"), ["key", "set"], "left_anti")
+        last, live = live, _open(rest, connected_components(links))
+        discard(last)
+    if not live.isEmpty():
+        pairs = materialize(rare_pairs(live.select("set", "n", "node", "at").distinct(), sets, min_percent), "candidates")
+        links = add(pairs)
+    told = materialize(rows.join(connected_components(links).hint("merge"), "node", "left").select("id", "name", F.coalesce("root", "node").alias("root")), "merged")
+    discard(rows, lead, score, live, sets)
+    return told.join(told.groupBy("root").agg(F.min("id").alias("component_id")).hint("merge"), "root").select("id", "name", "component_id", F.col("root").alias("group"))
+
+
+def rare_pairs(members: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
+    """(set, node, to_set, to_node): the pairs of members (set, n, node, at) that may have a Jaccard similarity of min_percent or more and lie in different components.
+
+    Exact prefix filter. Of n shingles a pair shares at least ceil(p n), so
+    that it shares one of the n - ceil(p n) + 1 that come first in any order
+    that holds for all sets. Rare shingles come first: what many members have
+    alike brings none of them together.
+    """
+    own = sets.join(members.select("set", "n", "node", "at").hint("merge"), "set").groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "node", "at", "s")))
+    each = materialize(own.select("set", "n", "node", "at", F.explode("s").alias("w")), "shingles")
+    often = each.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # a shingle of one set brings no pair, but takes a place in the order
+    place = F.row_number().over(Window.partitionBy("set").orderBy(F.coalesce("c", F.lit(1)), "w"))
+    first = each.join(often.hint("merge"), "w", "left").withColumn("_place", place).where(f"_place <= n - ceil(n * {min_percent} / 100) + 1 and c is not null")
+    first = materialize(first.select("set", "n", "node", "at", "w"), "prefixes")
+    to = first.select("w", F.struct("set", "n", "node", "at").alias("to"))
+    alike = F.least("n", "to.n") * 100 >= F.greatest("n", "to.n") * min_percent
+    return first.join(to.hint("merge"), "w").where(alike & (F.col("set") < F.col("to.set")) & (F.col("at") != F.col("to.at"))).select("set", "node", F.col("to.set").alias("to_set"), F.col("to.node").alias("to_node")).distinct()
 
 
 def _open(members: DataFrame, merged: DataFrame) -> DataFrame:
-    """The members (set, node, key, ...) of keys that hold more than one component, with the component as `at`."""
-    now = members.join(merged.select("node", "root"), "node", "left").withColumn("at", F.coalesce("root", "node")).drop("root")
+    """The members (set, node, key, ...) of keys that hold more than one component, with the component as `at`; materialised."""
+    now = materialize(members.join(merged.select("node", "root").hint("merge"), "node", "left").withColumn("at", F.coalesce("root", "node")).drop("root"), "now")
     some = now.groupBy("key").agg(F.min("at").alias("_low"), F.max("at").alias("_high")).where("_low <> _high").select("key")
-    return now.join(some, "key", "left_semi")
+    out = materialize(now.join(some.hint("merge"), "key", "left_semi"), "open")
+    discard(now)
+    return out
 
 
 def _set_name(hashes: np.ndarray) -> int:

@@ -413,11 +413,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     learnt = sample.mapInArrow(_learn_common, "bits binary").first()
     bits = bytes(learnt[0]) if learnt else bytes(1 << (TABLE_BITS - 3))
     runs = src.mapInArrow(_emit_runs(parts, bits), _PACKED)
-    settled = materialize(runs.groupBy("part").applyInArrow(_settle, "doc_id long, run long, kind int"), "runs", release=True)
+    settled = materialize(runs.groupBy("part").applyInArrow(_settle, "doc_id long, run long, kind int"), "runs")
     whole = settled.where("kind = 0").groupBy("doc_id").agg(F.collect_list("run").alias("whole"))
     contested = src.join(settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list("run").alias("runs")), "doc_id").select("doc_id", "text", "runs")
     packed = contested.mapInArrow(_emit_contested(parts, bits), _PACKED)
-    masks = materialize(packed.groupBy("part").applyInArrow(_settle_windows, "doc_id long, run long, mask long"), "windows", release=True)
+    masks = materialize(packed.groupBy("part").applyInArrow(_settle_windows, "doc_id long, run long, mask long"), "windows")
     partly = masks.groupBy("doc_id").agg(F.collect_list(F.struct("run", "mask")).alias("p")).select("doc_id", F.col("p.run").alias("partly"), F.col("p.mask").alias("masks"))
     told = whole.join(partly, "doc_id", "full")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
