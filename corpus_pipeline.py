@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import decontamination, packing, quality_rules, secret_scan, simhash
-from strandweave.llm.common import materialize, table
+from strandweave.llm.common import discard, materialize, table
 
 SHINGLE_WORDS = 5
 
@@ -20,14 +20,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; of rows that repeat its id and text, one. Rows with the same id and other texts are judged on their own. Rows without an id stay."""
     groups = simhash.copy_groups(docs, SHINGLE_WORDS)
-    groups = materialize(groups.groupBy("id", "name", "group").agg(F.count(F.lit(1)).alias("rows")), "groups", release=True)
+    groups = materialize(groups.groupBy("id", "name", "group").agg(F.count(F.lit(1)).alias("rows")), "groups")
     first = groups.groupBy("group").agg(F.min(F.struct("id", "name")).alias("first")).select("group", "first")
-    judged = groups.join(first, "group").select(F.col("id").alias("doc_id"), F.col("name").alias("_name"), "rows", (F.struct("id", "name") == F.col("first")).alias("stays"))
-    judged = materialize(judged.where("not stays or rows > 1"), "copies", release=True)
-    own = docs.withColumn("_name", F.xxhash64(F.col("text").cast("string")))
-    at = ["doc_id", "_name"]
-    repeated = own.join(judged.where("stays").select(at), at, "left_semi").dropDuplicates(at)
-    return own.join(judged.select(at), at, "left_anti").unionByName(repeated).select(docs.columns)
+    judged = groups.join(first.hint("merge"), "group").select(F.col("id").alias("strandweave_id"), F.col("name").alias("strandweave_name"), "rows", (F.struct("id", "name") == F.col("first")).alias("stays"))
+    judged = materialize(judged.where("not stays or rows > 1"), "copies")
+    discard(groups)
+    own = docs.withColumns({"strandweave_id": F.col("doc_id").cast("long"), "strandweave_name": F.xxhash64(F.col("text").cast("string"))})
+    at = ["strandweave_id", "strandweave_name"]
+    kept = own.join(judged.select(at).hint("merge"), at, "left_anti")
+    repeated = judged.where("stays").select(at)
+    if not repeated.isEmpty():
+        kept = kept.unionByName(own.join(repeated.hint("merge"), at, "left_semi").dropDuplicates(at))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
