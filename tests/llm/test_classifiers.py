@@ -83,11 +83,43 @@ def test_toxicity_odd_rows(spark, make_docs, odd_rows):
     assert toxicity.score_documents(make_docs([]), chain).count() == 0
 
 
+def chain_of(x, labels, folds=5):
+    return toxicity.train_chain(x, labels, np.arange(len(x)) % folds, np.ones((folds, x.shape[1]), bool), {f"w{i}": i for i in range(x.shape[1])})
+
+
+def dense(x):
+    return [(np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for r in x]
+
+
 def test_chain_feeds_out_of_fold_probabilities():
     rng = np.random.default_rng(2)
     x = rng.random((400, 3))
     first = (x[:, 0] > 0.5).astype(float)
-    chain = toxicity.train_chain(x, np.column_stack([first, first]), {"a": 0, "b": 1, "c": 2})
+    chain = chain_of(x, np.column_stack([first, first]))
     assert [len(w) for w in chain.weights] == [4, 5] and chain.weights[1][-1] > 0
-    p = chain.probabilities(x)
+    p = chain.probabilities(dense(x))
     assert p.shape == (400, 2) and ((p > 0.5).T == first).mean() > 0.95
+
+
+def test_texts_without_words_count_as_often_as_they_are():
+    x = np.zeros((300, 2))
+    x[:60, 0] = 1
+    y = np.r_[np.ones(50), np.zeros(250)][:, None]
+    p = chain_of(x, y).probabilities(dense(np.array([[1.0, 0], [0, 0]])))[:, 0]
+    assert p[0] > 0.7 and p[1] < 0.05
+
+
+def test_last_link_decides_and_needs_the_links_before_it(spark):
+    docs, labels = tables(spark)
+    chain = toxicity.fit(docs, labels)
+    n = len(chain.vocabulary)
+    assert toxicity.CATEGORIES[-1] == "toxic" and (chain.weights[-1][1 + n :] != 0).any()
+    cut = toxicity.Chain(chain.vocabulary, [*chain.weights[:-1], np.r_[chain.weights[-1][: 1 + n], np.zeros(len(chain.weights) - 1)]])
+    found = {c: {r[0] for r in toxicity.score_documents(docs, m).where(f"toxic >= {toxicity.THRESHOLD}").select("doc_id").collect()} for c, m in (("chain", chain), ("cut", cut))}
+    assert found["chain"] > found["cut"] and len(found["chain"]) > 1.2 * len(found["cut"])
+
+
+def test_a_word_counts_once_however_many_beginnings_match():
+    chain = toxicity.Chain({"lowe*": 0, "lowei*": 1, "loweiab": 2}, [np.array([0.0, 1, 1, 1])])
+    at, x = chain.sparse("loweiab loweiab other")
+    assert dict(zip(at, np.expm1(x).round(9))) == {0: 2, 1: 2, 2: 2}
