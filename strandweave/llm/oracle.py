@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandweave.llm.chat_quotes import ATTRIBUTION, PART_TURNS, QUOTE
 from strandweave.llm.decontamination import MARKS, MASKS, PASSAGE, SIMILARITY_PERCENT
 from strandweave.llm.suffix_dedup import WINDOW
 
@@ -46,25 +47,52 @@ compared AS (SELECT trid, irid, doc_id, item_id, shift, n_tokens, sum(eq) AS n_e
 SELECT doc_id, item_id, CAST(n_equal AS BIGINT) AS n_equal, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(passage AS BIGINT) AS passage, CAST(greatest(shift, 0) AS BIGINT) AS position FROM compared
 WHERE 100 * n_equal >= {SIMILARITY_PERCENT} * n_tokens OR passage >= {PASSAGE} QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, passage DESC, greatest(shift, 0), n_tokens DESC) = 1"""
 
-#: Quote levels by pattern, passages as islands of lines, threads by recursion.
-CHAT_QUOTES = r"""WITH RECURSIVE src AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-pieces AS (SELECT rid, conv_id, turn, unnest(range(len(p))) AS n, unnest(p) AS raw FROM (SELECT *, string_split(text, chr(10)) AS p FROM src)),
-lines AS (SELECT *, regexp_extract(regexp_replace(raw, '\r+$', ''), '^[ \t]{0,3}((?:>[ \t]?)+)(.*)$', 1) AS marks, regexp_extract(regexp_replace(raw, '\r+$', ''), '^[ \t]{0,3}((?:>[ \t]?)+)(.*)$', 2) AS body FROM pieces),
-leveled AS (SELECT *, length(marks) - length(replace(marks, '>', '')) AS level FROM lines),
-own AS (SELECT s.rid, s.conv_id, s.turn, s.role, trim(regexp_replace(coalesce(o.t, ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS own
-  FROM src s LEFT JOIN (SELECT rid, string_agg(raw, chr(10) ORDER BY n) AS t FROM leveled WHERE level = 0 GROUP BY rid) o USING (rid)),
-marked AS (SELECT *, CAST(level <> coalesce(lag(level) OVER (PARTITION BY rid ORDER BY n), 0) AS INTEGER) AS fresh FROM leveled),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY n) AS run FROM marked),
-passages AS (SELECT rid, conv_id, turn, level, run, string_agg(body, ' ' ORDER BY n) AS t FROM numbered WHERE level > 0 GROUP BY ALL),
+_MARKS = QUOTE.replace("'", "''")
+
+
+def _pieces(keys: str, text: str, table: str) -> str:
+    """The whole, lines, paragraphs and sentences of paragraphs of a text column, normalised; with the keys."""
+    plain = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))".format
+    sentences = f"string_split(regexp_replace({plain('q')}, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10))"
+    paragraphs = f"(SELECT {keys}, unnest(regexp_split_to_array({text}, '\\n[ \\t]*\\n')) AS q FROM {table})"
+    parts = [f"SELECT {keys}, {plain(text)} AS k FROM {table}", f"SELECT {keys}, {plain('q')} FROM (SELECT {keys}, unnest(string_split({text}, chr(10))) AS q FROM {table})", f"SELECT {keys}, {plain('q')} FROM {paragraphs}", f"SELECT {keys}, unnest({sentences}) FROM {paragraphs}"]
+    return f"SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)}) WHERE k <> ''"
+
+
+def chat_quotes(conversations: str) -> str:
+    """Quote levels by pattern, passages as islands of lines, threads by recursion; over a table or subquery."""
+    return f"""WITH RECURSIVE src AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM {conversations} WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+split AS (SELECT rid, conv_id, turn, unnest(range(len(p))) AS n, unnest(p) AS raw FROM (SELECT *, string_split(text, chr(10)) AS p FROM src)),
+marked AS (SELECT *, regexp_replace(raw, '\r+$', '') AS bare FROM split),
+lines AS (SELECT *, regexp_extract(bare, '{_MARKS}', 1) AS marks, regexp_extract(bare, '{_MARKS}', 2) AS body FROM marked),
+counted AS (SELECT *, length(marks) - length(replace(marks, '>', '')) AS level FROM lines),
+leveled AS (SELECT *, level = 0 AND regexp_matches(bare, '{ATTRIBUTION}') AND coalesce(lead(CASE WHEN level > 0 OR trim(raw, ' ' || chr(9) || chr(13)) <> '' THEN level END IGNORE NULLS) OVER (PARTITION BY rid ORDER BY n), 0) > 0 AS told FROM counted),
+own AS (SELECT s.rid, s.conv_id, s.turn, s.role, trim(regexp_replace(coalesce(o.t, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS own
+  FROM src s LEFT JOIN (SELECT rid, string_agg(raw, chr(10) ORDER BY n) AS t FROM leveled WHERE level = 0 AND NOT told GROUP BY rid) o USING (rid)),
+edges AS (SELECT *, CAST(level <> coalesce(lag(level) OVER (PARTITION BY rid ORDER BY n), 0) AS INTEGER) AS fresh FROM leveled),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY n) AS run FROM edges),
+passages AS (SELECT rid, conv_id, turn, level, run, string_agg(body, chr(10) ORDER BY n) AS t FROM numbered WHERE level > 0 GROUP BY ALL),
 quotes AS (SELECT rid, count(*) AS n_quotes, max(level) AS max_level FROM passages GROUP BY rid),
-texts AS (SELECT conv_id, turn, 0 AS level, own AS t FROM own UNION ALL SELECT conv_id, turn, 0, unnest(string_split(own, chr(10))) FROM own
-  UNION ALL SELECT conv_id, turn, 0, unnest(regexp_split_to_array(own, '\n[ \t]*\n')) FROM own UNION ALL SELECT conv_id, turn, level, t FROM passages UNION ALL SELECT conv_id, turn, level, body FROM leveled WHERE level > 0),
-units AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS k FROM texts),
-firsts AS (SELECT conv_id, k, min(turn) AS source FROM units WHERE level = 0 AND k <> '' GROUP BY ALL),
-votes AS (SELECT u.conv_id, u.turn, u.level, f.source, sum(length(u.k)) AS weight FROM units u JOIN firsts f USING (conv_id, k) WHERE u.level > 0 AND f.source < u.turn GROUP BY ALL),
+quoted AS ({_pieces("conv_id, turn, level", "t", "passages")}),
+mine AS ({_pieces("conv_id, turn", "own", "own")}),
+firsts AS (SELECT conv_id, k, min(turn) AS source FROM mine GROUP BY ALL),
+votes AS (SELECT u.conv_id, u.turn, u.level, f.source, sum(length(u.k)) AS weight FROM quoted u JOIN firsts f USING (conv_id, k) WHERE f.source < u.turn GROUP BY ALL),
 replies AS (SELECT conv_id, turn, source AS reply_to FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, weight DESC, source) = 1),
 chain AS (SELECT conv_id, turn, reply_to AS up FROM replies UNION ALL SELECT c.conv_id, c.turn, r.reply_to FROM chain c JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.up),
-threads AS (SELECT conv_id, turn, min(up) AS thread FROM chain GROUP BY ALL)
-SELECT o.conv_id, o.turn, o.role, coalesce(t.thread, o.turn) AS thread, r.reply_to, CAST(coalesce(q.n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(q.max_level, 0) AS BIGINT) AS max_level,
-  sha256('<|' || coalesce(o.role, 'user') || '|>' || chr(10) || o.own || chr(10) || '<|end|>' || chr(10)) AS chat_sha256
-FROM own o LEFT JOIN replies r ON r.conv_id = o.conv_id AND r.turn = o.turn LEFT JOIN threads t ON t.conv_id = o.conv_id AND t.turn = o.turn LEFT JOIN quotes q ON q.rid = o.rid"""
+threads AS (SELECT conv_id, turn, min(up) AS thread FROM chain GROUP BY ALL),
+messages AS (SELECT o.conv_id, o.turn, coalesce(o.role, 'user') AS role, o.own, coalesce(t.thread, o.turn) AS thread, r.reply_to, coalesce(q.n_quotes, 0) AS n_quotes, coalesce(q.max_level, 0) AS max_level
+  FROM own o LEFT JOIN replies r ON r.conv_id = o.conv_id AND r.turn = o.turn LEFT JOIN threads t ON t.conv_id = o.conv_id AND t.turn = o.turn LEFT JOIN quotes q ON q.rid = o.rid)
+SELECT conv_id, thread, CAST(floor(turn / {PART_TURNS}) AS BIGINT) AS part, count(*) AS n_messages, CAST(sum(n_quotes) AS BIGINT) AS n_quotes, CAST(max(max_level) AS BIGINT) AS max_level,
+  string_agg(turn || ':' || coalesce(CAST(reply_to AS VARCHAR), ''), ',' ORDER BY turn, role, own) AS replies, sha256(string_agg('<|' || role || '|>' || chr(10) || own || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, own)) AS chat_sha256
+FROM messages GROUP BY conv_id, thread, part"""
+
+
+CHAT_QUOTES = chat_quotes("conversations")
+
+#: Each message quotes the one before it: wrapped anew, by its first sentence, or nested with the one before that.
+MADE_QUOTES = """(SELECT conv_id, turn, role, CASE WHEN before IS NULL THEN text
+  WHEN turn % 3 = 1 THEN 'On some day, ' || role || ' wrote:' || chr(10) || '> ' || replace(before, chr(10), ' ') || chr(10) || text
+  WHEN turn % 3 = 2 THEN '> ' || replace(split_part(before, '.', 1), ' ', '  ') || '.' || chr(10) || chr(10) || text
+  ELSE '>> ' || replace(coalesce(earlier, before), chr(10), chr(10) || '>> ') || chr(10) || '> ' || replace(before, chr(10), chr(10) || '> ') || chr(10) || text END AS text
+  FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM conversations)) made"""
+CHAT_QUOTES_MADE = chat_quotes(MADE_QUOTES)

@@ -48,9 +48,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def _conversations(conversations: DataFrame) -> DataFrame:
+    made = chat_quotes.build_conversations(chat_quotes.link_conversations(conversations))
+    replies = F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["turn"], F.coalesce(m["reply_to"].cast("string"), F.lit("")))), ",")
+    return made.select("conv_id", "thread", "part", "n_messages", "n_quotes", "max_level", replies.alias("replies"), F.sha2("chat", 256).alias("chat_sha256"))
+
+
 def op9_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = chat_quotes.render(chat_quotes.link_conversations(table(spark, sf_dir, "conversations")))
-    return linked.select("conv_id", "turn", "role", "thread", "reply_to", "n_quotes", "max_level", F.sha2("chat", 256).alias("chat_sha256"))
+    """One row per part of a thread in reply order."""
+    return _conversations(table(spark, sf_dir, "conversations"))
+
+
+def chat_quotes_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over conversations whose messages quote each other, which those of the tables don't."""
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("strandweave_conversations")
+    return _conversations(spark.sql("SELECT * FROM " + oracle.MADE_QUOTES.replace("FROM conversations", "FROM strandweave_conversations")))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +81,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chat_quotes": op9_chat_quotes,
     "op10_secret_scan": op10_secret_scan,
+    "chat_quotes_made": chat_quotes_made,
 }
 
 #: The others need a trained model, a seeded hash or a tokenizer; tests hold them against brute force.
@@ -76,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": oracle.SUFFIX_DEDUP,
     "op3_decontamination": oracle.DECONTAMINATION,
     "op9_chat_quotes": oracle.CHAT_QUOTES,
+    "chat_quotes_made": oracle.CHAT_QUOTES_MADE,
 }

@@ -21,7 +21,7 @@ def brute(rows):
         for level, h, w in {u for one in units for u in one if u[0] > 0}:
             sources = [t for (c, t), many in cut.items() if c == conv and any(v[0] == 0 and v[1] == h for one in many for v in one)]
             if sources and min(sources) < turn:
-                votes[(level, min(sources))] = votes.get((level, min(sources)), 0) + w
+                votes[(level, min(sources))] = votes.get((level, min(sources)), 0) + len(w)
         if votes:
             reply[conv, turn] = min((lv, -w, s) for (lv, s), w in votes.items())[2]
     def root(k):
@@ -37,11 +37,47 @@ def check(df, rows):
     assert len(got) == len(rows)
     for r in got:
         assert (r["reply_to"], r["thread"]) == want[r["conv_id"], r["turn"]], (r["conv_id"], r["turn"])
+    return want
 
 
 def test_query_matches_brute_force(spark, sf_small):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    check(queries.op9_chat_quotes(spark, sf_small), rows)
+    check(chat_quotes.link_conversations(make(spark, rows)), rows)
+    for name, links in (("op9_chat_quotes", False), ("chat_quotes_made", True)):
+        got = queries.QUERIES[name](spark, sf_small).collect()
+        assert sum(r["n_messages"] for r in got) == len(rows)
+        assert (sum(r["n_messages"] > 1 for r in got) > 10) == links
+
+
+def test_quotes_wrapped_anew_in_part_or_introduced(spark):
+    text = "The first sentence is here. A second one follows it!\nAnd the third\nruns over lines."
+    rows = [
+        (5, -3, "user", text),
+        (5, 1, "user", "On Monday, Ada <a@b.c> wrote:\n\n> the first   sentence\n> is here. A second one\n> follows it! And the third runs over lines.\nYes."),
+        (5, 2, "assistant", "Le lundi, Ada a écrit :\n> A second one\n> follows it!\nNo."),
+        (5, 3, "user", "Am Montag schrieb niemand:\nnothing quoted"),
+        (5 + 2**40, 1, "user", "another one"), (5 + 2**40, 2, "user", "> another one\n!"), (-(2**63), 2**62, "user", "far"), (-(2**63), 2**63 - 1, "user", "> far\nout"),
+    ]
+    check(chat_quotes.link_conversations(make(spark, rows)), rows)
+    got = {(r["conv_id"], r["turn"]): r for r in chat_quotes.link_conversations(make(spark, rows)).collect()}
+    assert [got[5, t]["reply_to"] for t in (1, 2, 3)] == [-3, -3, None] and [got[5, t]["text"] for t in (1, 2)] == ["Yes.", "No."]
+    assert got[5, 3]["text"] == "Am Montag schrieb niemand:\nnothing quoted"
+    assert got[5 + 2**40, 2]["thread"] == 1 and got[-(2**63), 2**63 - 1]["thread"] == 2**62
+
+
+def test_equal_hashes_of_other_words_do_not_link(spark):
+    rows = [(1, 0, "user", "abcd"), (1, 1, "user", "> dcba\nno"), (1, 2, "user", "> abcd\nyes")]
+    got = {r["turn"]: r["reply_to"] for r in chat_quotes.link_conversations(make(spark, rows), lambda piece: len(piece)).collect()}
+    assert got == {0: None, 1: None, 2: 0}
+
+
+def test_conversations_are_built_in_reply_order_and_parts(spark):
+    rows = [(1, t, "user", f"m{t}" if t < 1 else f"> m0\nm{t}") for t in range(0, 3000, 7)] + [(1, 1, None, "alone")]
+    made = chat_quotes.build_conversations(chat_quotes.link_conversations(make(spark, rows))).orderBy("thread", "part").collect()
+    assert [(r["thread"], r["part"]) for r in made] == [(0, 0), (0, 1), (0, 2), (1, 0)]
+    turns = [m["turn"] for r in made[:3] for m in r["messages"]]
+    assert turns == list(range(0, 3000, 7)) and all(m["reply_to"] == 0 for m in made[1]["messages"])
+    assert made[3]["chat"] == "<|user|>\nalone\n<|end|>\n" and made[3]["messages"][0]["role"] is None
 
 
 def test_nested_and_reworded_quotes(spark):
