@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import connected_components, discard, materialize, prepare, smallest_labels
@@ -27,10 +27,13 @@ BLOCK_VARIANTS = 4_000_000
 FINGERPRINTS_PER_PREFIX = 1_000
 BANDS, ROWS = 16, 4
 PIVOT_ROUNDS = 2
+SKETCH_BITS, SLACK = 1024, 4.5
 
 _rng = np.random.default_rng(64)
 _ODD = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIPS = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
+_SKETCH_ODD = _rng.integers(0, 2**63, SKETCH_BITS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH_FLIPS = _rng.integers(0, 2**63, SKETCH_BITS, np.uint64)
 
 
 def shingle_hashes(text: bytes, k: int, seed: int = 42) -> np.ndarray:
@@ -78,6 +81,14 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)[: BANDS if len(hashes) else 0]
 
 
+def sketch_bits(hashes: np.ndarray) -> np.ndarray:
+    """A bit of each of SKETCH_BITS minimum hashes, as longs."""
+    low = np.full(SKETCH_BITS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 512):
+        np.minimum(low, ((hashes[at : at + 512, None] ^ _SKETCH_FLIPS) * _SKETCH_ODD >> np.uint64(20)).min(axis=0), out=low)
+    return np.packbits((low & np.uint64(1)).astype(bool)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long): SimHash of every whole text over k-word shingles, repeats included. Null texts have no words."""
     prepare(docs.sparkSession)
@@ -190,8 +201,8 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
     hashes, which share one with probability 0.9998 at 0.8. Members of a key
     that nothing links yet are compared by their whole shingle sets: first
     with the member that meets most others, which an original does among its
-    copies, and what is left by the rarest shingles of each set, one of which
-    any pair of the wanted similarity must share.
+    copies, then those outside a key's largest component with all others that
+    a sketch of one-bit minimum hashes doesn't rule out.
     Null and blank texts link to each other by their fingerprint alone; rows
     with a null id are dropped; repeated rows stay; an empty table gives no
     rows; extra columns are ignored.
@@ -244,15 +255,16 @@ def copy_groups(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
     def sets_of(batches):
         for b in batches:
             own = [np.unique(shingle_hashes((t or "").encode(), k)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_name(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["set", "s"])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([_set_name(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], kind), pa.array([sketch_bits(x) for x in own], kind)], ["set", "s", "bits"])
 
     wanted = score.join(live.select("set").distinct().hint("merge"), "set", "left_semi").select("id", "name")
     # a repeated row may repeat a link, no more
-    sets = materialize(src.join(wanted.hint("merge"), ["id", "name"], "left_semi").select("text").mapInArrow(sets_of, "set long, s array<long>"), "sets")
+    sets = materialize(src.join(wanted.hint("merge"), ["id", "name"], "left_semi").select("text").mapInArrow(sets_of, "set long, s array<long>, bits array<long>"), "sets")
 
     def add(pairs: DataFrame) -> DataFrame:
         """links and those of the pairs (set, node, to_set, to_node) that are alike."""
-        both = pairs.join(sets.hint("merge"), "set").join(sets.select(F.col("set").alias("to_set"), F.col("s").alias("to_s")).hint("merge"), "to_set")
+        both = pairs.join(sets.select("set", "s").hint("merge"), "set").join(sets.select(F.col("set").alias("to_set"), F.col("s").alias("to_s")).hint("merge"), "to_set")
         close = both.withColumn("_i", F.size(F.array_intersect("s", "to_s"))).where(F.col("_i") * 100 >= (F.size("s") + F.size("to_s") - F.col("_i")) * min_percent)
         return links.unionByName(materialize(close.select(F.col("node").alias("a"), F.col("to_node").alias("b")).distinct(), "found"))
 
@@ -268,31 +280,33 @@ def copy_groups(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
         last, live = live, _open(rest, connected_components(links))
         discard(last)
     if not live.isEmpty():
-        pairs = materialize(rare_pairs(live.select("set", "n", "node", "at").distinct(), sets, min_percent), "candidates")
+        pairs = materialize(left_pairs(live, sets, min_percent), "candidates")
         links = add(pairs)
     told = materialize(rows.join(connected_components(links).hint("merge"), "node", "left").select("id", "name", F.coalesce("root", "node").alias("root")), "merged")
     discard(rows, lead, score, live, sets)
     return told.join(told.groupBy("root").agg(F.min("id").alias("component_id")).hint("merge"), "root").select("id", "name", "component_id", F.col("root").alias("group"))
 
 
-def rare_pairs(members: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
-    """(set, node, to_set, to_node): the pairs of members (set, n, node, at) that may have a Jaccard similarity of min_percent or more and lie in different components.
+def left_pairs(live: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
+    """(set, node, to_set, to_node): the pairs of members (set, key, n, node, at) of a key in different components that may have a Jaccard similarity of min_percent or more.
 
-    Exact prefix filter. Of n shingles a pair shares at least ceil(p n), so
-    that it shares one of the n - ceil(p n) + 1 that come first in any order
-    that holds for all sets. Rare shingles come first: what many members have
-    alike brings none of them together.
+    A key's largest component is not compared within itself. Of the others,
+    pairs go whose sets differ too much in size or in SKETCH_BITS one-bit
+    minimum hashes: these differ in (1 - J) / 2 of the bits, and the bound lies
+    SLACK standard deviations above that, which loses 3 pairs in a million at
+    the similarity itself. A pair is made once, at its first common key.
     """
-    own = sets.join(members.select("set", "n", "node", "at").hint("merge"), "set").groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "node", "at", "s")))
-    each = materialize(own.select("set", "n", "node", "at", F.explode("s").alias("w")), "shingles")
-    often = each.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    # a shingle of one set brings no pair, but takes a place in the order
-    place = F.row_number().over(Window.partitionBy("set").orderBy(F.coalesce("c", F.lit(1)), "w"))
-    first = each.join(often.hint("merge"), "w", "left").withColumn("_place", place).where(f"_place <= n - ceil(n * {min_percent} / 100) + 1 and c is not null")
-    first = materialize(first.select("set", "n", "node", "at", "w"), "prefixes")
-    to = first.select("w", F.struct("set", "n", "node", "at").alias("to"))
-    alike = F.least("n", "to.n") * 100 >= F.greatest("n", "to.n") * min_percent
-    return first.join(to.hint("merge"), "w").where(alike & (F.col("set") < F.col("to.set")) & (F.col("at") != F.col("to.at"))).select("set", "node", F.col("to.set").alias("to_set"), F.col("to.node").alias("to_node")).distinct()
+    keys = live.groupBy("set").agg(F.collect_set("key").alias("keys"))  # at most BANDS
+    most = live.groupBy("key", "at").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "at")).alias("most")).select("key", F.col("most.at").alias("main"))
+    bits = sets.select("set", "bits").dropDuplicates(["set"])
+    each = live.select("set", "key", "n", "node", "at").join(keys.hint("merge"), "set").join(bits.hint("merge"), "set").join(most.hint("merge"), "key")
+    each = materialize(each, "left")
+    to = each.select("key", F.struct("set", "n", "node", "at", "keys", "bits", "main").alias("to"))
+    share = (1 - min_percent / 100) / 2
+    limit = math.floor(SKETCH_BITS * share + SLACK * math.sqrt(SKETCH_BITS * share * (1 - share)))
+    differ = " + ".join(f"bit_count(bits[{i}] ^ to.bits[{i}])" for i in range(SKETCH_BITS // 64))
+    alike = f"at <> to.at and (to.at = main or `set` < to.`set`) and least(n, to.n) * 100 >= greatest(n, to.n) * {min_percent} and {differ} <= {limit} and key = array_min(array_intersect(keys, to.keys))"
+    return each.where("at <> main").join(to.hint("merge"), "key").where(alike).select("set", "node", F.col("to.set").alias("to_set"), F.col("to.node").alias("to_node"))
 
 
 def _open(members: DataFrame, merged: DataFrame) -> DataFrame:
