@@ -187,8 +187,8 @@ def _components(fps: DataFrame, radius: int) -> DataFrame:
     """Adds component_id to (id, fp, ...)."""
     distinct = fps.groupBy("fp").agg(F.min("id").alias("low"))
     labels = link_fingerprints(distinct.select("fp"), radius)
-    rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = materialize(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    lows = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")  # else its side of the join could not be split for a hot root
     member = materialize(rooted.join(lows, "root").select("fp", "component_id"), "members")
     return fps.join(member, "fp")
 
@@ -284,7 +284,8 @@ def copy_groups(docs: DataFrame, k: int = 5, radius: int = 4, min_percent: int =
         links = add(pairs)
     told = materialize(rows.join(connected_components(links).hint("merge"), "node", "left").select("id", "name", F.coalesce("root", "node").alias("root")), "merged")
     discard(rows, lead, score, live, sets)
-    return told.join(told.groupBy("root").agg(F.min("id").alias("component_id")).hint("merge"), "root").select("id", "name", "component_id", F.col("root").alias("group"))
+    lows = materialize(told.groupBy("root").agg(F.min("id").alias("component_id")), "lows")  # else its side of the join could not be split for a hot root
+    return told.join(lows.hint("merge"), "root").select("id", "name", "component_id", F.col("root").alias("group"))
 
 
 def left_pairs(live: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
