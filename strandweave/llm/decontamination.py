@@ -12,12 +12,16 @@ tokens in a row, or more with substitutions among them).
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import materialize
 
 MASKS = ("11111", "1101011", "1100100101")
+SHORT = 14
 SIMILARITY_PERCENT = 80
 PASSAGE = 13
 BROADCAST_TOKENS = 500_000
@@ -30,13 +34,30 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, at int, key long: one row for each mask that fits at each token position of hs."""
+@lru_cache
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks of n positions for items of n tokens: with them, every choice of floor(n / 5) substituted tokens leaves a seed. Items of up to four tokens must stand as they are."""
+    fixed = [[s + i for i, c in enumerate(m) if c == "1"] for m in MASKS for s in range(n - len(m) + 1)]
+    lost = [c for c in combinations(range(n), n // 5) if not any(set(c).isdisjoint(on) for on in fixed)]
+    return tuple("".join("0" if i in c else "1" for i in range(n)) for c in lost)
+
+
+#: All masks by their numbers; those of short items serve items of that very length.
+EVERY_MASK = (*((m, 0) for m in MASKS), *((m, n) for n in range(1, SHORT + 1) for m in short_masks(n)))
+
+
+def _seeds(df: DataFrame, keep: list[str], lengths: set[int], item: bool) -> DataFrame:
+    """keep, at int, key long: one row for each mask that fits at each token position of hs. lengths: which short items there are."""
     at = df.select(*keep, F.posexplode("hs").alias("at", "_h"))
     keys = []
-    for n, mask in enumerate(MASKS):
+    for n, (mask, length) in enumerate(EVERY_MASK):
+        if length and length not in lengths:
+            continue
         on = [i for i, c in enumerate(mask) if c == "1"]
         fits = F.col("at") + (len(mask) - 1) < F.size("hs")
+        if length and item:
+            fits = F.size("hs") == length
+            fits &= F.col("at") == 0
         keys.append(F.when(fits, F.xxhash64(F.lit(n), *(F.get(F.col("hs"), F.col("at") + i) for i in on))))
     return at.select(*keep, "at", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
@@ -55,22 +76,25 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     Items are broadcast if they hold at most `broadcast_tokens` tokens, a size
     that is counted first; beyond it seeds meet in a shuffled join and
-    candidates fetch their documents by id. Items of fewer than five tokens
-    have no seed and match nothing. Null texts match nothing, null ids are
+    candidates fetch their documents by id. Items of up to 14 tokens have
+    further masks, so that no allowed substitution hides them; one of fewer
+    than five tokens matches where it stands as it is. Items and texts that
+    are null or have no token match nothing, null ids are
     dropped, repeated rows count once, empty tables give no rows; extra
     columns are ignored.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), token_hashes(F.col("text")).alias("hs")).distinct()
     items = materialize(items, "items")
     size = items.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
-    marks = _seeds(items, ["item_id", "hs"]).select("item_id", F.col("at").alias("item_at"), "key").distinct()
+    lengths = {r[0] for r in items.select(F.size("hs").alias("n")).where(f"n <= {SHORT}").distinct().collect()}  # at most SHORT
+    marks = _seeds(items, ["item_id", "hs"], lengths, True).select("item_id", F.col("at").alias("item_at"), "key").distinct()
     whole = items.select("item_id", F.col("hs").alias("item_hs"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("hs"))
     if size <= broadcast_tokens:
-        hits = _seeds(texts, ["doc_id", "hs"]).join(F.broadcast(marks), "key").select("doc_id", "hs", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+        hits = _seeds(texts, ["doc_id", "hs"], lengths, False).join(F.broadcast(marks), "key").select("doc_id", "hs", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
         found = hits.join(F.broadcast(whole), "item_id")
     else:
-        hits = _seeds(texts, ["doc_id", "hs"]).select("doc_id", "at", "key").join(marks, "key").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        hits = _seeds(texts, ["doc_id", "hs"], lengths, False).select("doc_id", "at", "key").join(marks, "key").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
         found = hits.join(whole, "item_id").join(texts, "doc_id")
     compared = found.withColumn("c", F.expr(_COMPARE)).select("doc_id", "item_id", F.expr("c.n").alias("n_equal"), F.size("item_hs").alias("n_tokens"), F.expr("c.best").alias("passage"), F.greatest("shift", F.lit(0)).alias("position"))
     bad = compared.where(f"100 * n_equal >= {SIMILARITY_PERCENT} * n_tokens or passage >= {PASSAGE}")
@@ -79,6 +103,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that no benchmark item contaminates, with their columns."""
+    """The rows of docs that no benchmark item contaminates, with their columns, whatever their names.
+
+    Rows with a null id or text stay; of repeated ids either all rows stay or
+    none; an empty table stays empty.
+    """
     bad = materialize(contaminated_pairs(docs, benchmark).select("doc_id").distinct(), "contaminated")
     return docs.join(bad, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strandweave.llm.chat_quotes import ATTRIBUTION, PART_TURNS, QUOTE
-from strandweave.llm.decontamination import MARKS, MASKS, PASSAGE, SIMILARITY_PERCENT
+from strandweave.llm.decontamination import EVERY_MASK, MARKS, PASSAGE, SIMILARITY_PERCENT
 from strandweave.llm.suffix_dedup import WINDOW
 
 #: Windows as hex text, cut from blocks; removed bytes as islands of covered windows.
@@ -24,11 +24,12 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM h JOIN kept USING (rid) LEFT JOIN gone USING (rid)"""
 
 
-def _seeds(table: str, key: str) -> str:
+def _seeds(table: str, key: str, item: bool) -> str:
     parts = []
-    for n, mask in enumerate(MASKS):
+    for n, (mask, length) in enumerate(EVERY_MASK):
         k = " || ' ' || ".join(f"h[i + {1 + j}]" for j, c in enumerate(mask) if c == "1")
-        parts.append(f"SELECT {key}, i, '{n} ' || {k} AS k FROM (SELECT {key}, h, unnest(range(0, len(h) - {len(mask) - 1})) AS i FROM {table})")
+        own = f" WHERE len(h) = {length}" if length and item else ""
+        parts.append(f"SELECT {key}, i, '{n} ' || {k} AS k FROM (SELECT {key}, h, unnest(range(0, len(h) - {len(mask) - 1})) AS i FROM {table}{own})")
     return " UNION ALL ".join(parts)
 
 
@@ -37,8 +38,8 @@ _TOKENS = "[x for x in string_split(translate(lower(coalesce(text, '')), chr(10)
 DECONTAMINATION = f"""WITH items AS (SELECT DISTINCT item_id, {_TOKENS} AS h FROM benchmark WHERE item_id IS NOT NULL),
 texts AS (SELECT doc_id, {_TOKENS} AS h FROM documents WHERE doc_id IS NOT NULL),
 item_rows AS (SELECT row_number() OVER () AS irid, * FROM items), text_rows AS (SELECT row_number() OVER () AS trid, * FROM texts),
-item_seeds AS ({_seeds("item_rows", "irid")}), text_seeds AS ({_seeds("text_rows", "trid")}),
-hits AS (SELECT DISTINCT trid, irid, t.i - s.i AS shift FROM text_seeds t JOIN item_seeds s USING (k)),
+item_seeds AS ({_seeds("item_rows", "irid", True)}), text_seeds AS ({_seeds("text_rows", "trid", False)}),
+hits AS (SELECT DISTINCT trid, irid, t.i - s.i AS shift FROM (SELECT * FROM text_seeds WHERE k IN (SELECT k FROM item_seeds)) t JOIN item_seeds s USING (k)),
 pairs AS (SELECT trid, irid, doc_id, item_id, shift, len(a.h) AS n_tokens, a.h AS ih, b.h AS th, unnest(range(0, len(a.h))) AS j FROM hits JOIN item_rows a USING (irid) JOIN text_rows b USING (trid)),
 same AS (SELECT trid, irid, doc_id, item_id, shift, n_tokens, j, CASE WHEN j + shift >= 0 AND th[j + shift + 1] = ih[j + 1] THEN 1 ELSE 0 END AS eq FROM pairs),
 sums AS (SELECT *, sum(CASE WHEN eq = 1 THEN 1 ELSE -4 END) OVER (PARTITION BY trid, irid, shift ORDER BY j) AS s FROM same),

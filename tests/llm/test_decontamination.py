@@ -23,9 +23,7 @@ def brute(docs, items):
         a = [t for t in tokens(text) if t]
         for k, item in items:
             b = [t for t in tokens(item) if t]
-            if len(b) < 5:
-                continue
-            for shift in range(-len(b) + 5, len(a) - 4):
+            for shift in range(-len(b) + 1, len(a) if b else -len(b)):
                 same = [0 <= j + shift < len(a) and a[j + shift] == b[j] for j in range(len(b))]
                 run = best = 0
                 for s in same:
@@ -92,3 +90,28 @@ def test_query_finds_verbatim_items(spark, sf_small):
 def test_plan_has_no_python(spark, sf_small):
     df = queries.op3_decontamination(spark, sf_small)
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_every_allowed_substitution_leaves_a_seed():
+    from itertools import combinations
+
+    for n in range(1, decontamination.SHORT + 1):
+        masks = [m for m, length in decontamination.EVERY_MASK if length in (0, n)]
+        on = [[s + i for i, c in enumerate(m) if c == "1"] for m in masks for s in range(n - len(m) + 1)]
+        assert all(any(set(c).isdisjoint(o) for o in on) for c in combinations(range(n), n // 5)), n
+
+
+def test_short_items(spark, make_docs):
+    r = random.Random(6)
+    items, docs = [], []
+    for n in range(1, 15):
+        item = prose(n, r)
+        items.append((n, " ".join(item)))
+        for k in range(12):
+            hit = list(item)
+            for at in r.sample(range(n), min(n, n // 5 + (k % 4 == 3))):
+                hit[at] = "other"
+            docs.append((100 * n + k, " ".join(prose(30, r) + hit + prose(30, r))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = pairs(decontamination.contaminated_pairs(make_docs(docs), bench))
+    assert got == brute(docs, items) and {k for _, k in got} == set(range(1, 15))
