@@ -26,7 +26,6 @@ from strandweave.llm.common import materialize, prepare
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 500_000
-MAX_STEPS = 2000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict[str, "WordCache"] = {}
@@ -233,8 +232,9 @@ def _shift(a: list, b: list, capacity: int) -> tuple[dict, dict] | None:
         if best < gain <= room:
             best, found = gain, (give, take)
 
-    pairs_a = sorted({(x + y, x, y) for x in singles_a for y in singles_a if x < y or x == y and a[2][x] > 1})[:4096]
-    pairs_b = sorted({(x + y, x, y) for x in singles_b for y in singles_b if x < y or x == y and b[2][x] > 1})[:4096]
+    # lengths of a bin that differ add up to its capacity at most, so that it has fewer pairs of them than that
+    pairs_a = sorted({(x + y, x, y) for x in singles_a for y in singles_a if x < y or x == y and a[2][x] > 1})
+    pairs_b = sorted({(x + y, x, y) for x in singles_b for y in singles_b if x < y or x == y and b[2][x] > 1})
     for x in singles_a:
         offer(x, [x], [])
     for y in singles_b:
@@ -251,56 +251,65 @@ def _shift(a: list, b: list, capacity: int) -> tuple[dict, dict] | None:
     return found
 
 
-def local_search(groups: list[list], capacity: int, max_steps: int = MAX_STEPS) -> list[list]:
+def local_search(groups: list[list], capacity: int) -> list[list]:
     """Moves, one-for-one and two-for-one exchanges from the emptiest bins into fuller ones.
 
-    Each step raises the sum of squared fills, so it ends; it stops early at
-    the lower bound on bins, or after max_steps, a bound on work that leaves a
-    valid packing. Groups change as many bins at once as both have.
+    Each step raises the sum of squared fills, so it ends: at the lower bound
+    on bins, or when no exchange of any two bins raises it. Pairs of contents
+    that had none are remembered. Groups change as many bins at once as both
+    have; the work depends on the number of groups, not of bins.
     """
     total = sum(g[0] * (capacity - g[1]) for g in groups)
     least = -(-total // capacity)
-    done = [g for g in groups if not g[1]]
-    work = [g for g in groups if g[1]]
-    steps = 0
-    stuck: list[list] = []
-    while sum(g[0] for g in done) + sum(g[0] for g in work) + sum(g[0] for g in stuck) > least and len(work) + len(stuck) > 1 and work and steps < max_steps:
-        work.sort(key=lambda g: g[1])
-        a = work.pop()
-        moved = False
-        for b in [*work, *stuck]:
-            steps += 1
-            found = _shift(a, b, capacity)
-            if not found:
-                continue
-            home = work if any(b is g for g in work) else stuck
-            home[:] = [g for g in home if g is not b]
-            m = min(a[0], b[0])
-            for g in (a, b):
-                if g[0] > m:
-                    work.append([g[0] - m, g[1], dict(g[2])])
-            ca, cb = dict(a[2]), dict(b[2])
-            for giver, taker, items in ((ca, cb, found[0]), (cb, ca, found[1])):
-                for x in items:
-                    giver[x] -= 1
-                    taker[x] = taker.get(x, 0) + 1
-            for c in (ca, cb):
-                c = {x: k for x, k in c.items() if k}
-                if c:
-                    g = [m, capacity - sum(x * k for x, k in c.items()), c]
-                    (work if g[1] else done).append(g)
-            work.extend(stuck)
-            stuck = []
-            moved = True
-            break
-        if not moved:
-            stuck.append(a)
-    return done + work + stuck
-
-
-def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, max_steps: int = MAX_STEPS) -> dict[str, np.ndarray]:
+    bins: dict[tuple, list] = {}
+    born: dict[tuple, int] = {}  # when a group came or grew
+    done: dict[tuple, int] = {}  # up to when a group has been tried with all others as the emptier one
+    clock = itertools.count()
+
+    def put(mult: int, items: dict[int, int]) -> None:
+        """Equal bins are one group."""
+        if mult and items:
+            name = tuple(sorted(items.items()))
+            bins.setdefault(name, [0, capacity - sum(x * k for x, k in items.items()), items])[0] += mult
+            born[name] = next(clock)
+
+    def step() -> tuple | None:
+        recent = sorted(born, key=born.get)
+        ages = [born[n] for n in recent]
+        for na in sorted(bins, key=lambda n: (-bins[n][1], n)):
+            a = bins[na]
+            for nb in recent[bisect.bisect_right(ages, done.get(na, -1)) :]:
+                b = bins[nb]
+                if 0 < b[1] <= a[1] and (nb != na or a[0] > 1) and (found := _shift(a, b, capacity)):
+                    return na, nb, found
+            done[na] = ages[-1]
+        return None
+
+    for mult, _, items in groups:
+        put(mult, dict(items))
+    while sum(g[0] for g in bins.values()) > least and (found := step()):
+        na, nb, (give, take) = found
+        a, b = bins[na], bins[nb]
+        m = min(a[0], b[0]) if na != nb else a[0] // 2
+        ca, cb = dict(a[2]), dict(b[2])
+        for giver, taker, items in ((ca, cb, give), (cb, ca, take)):
+            for x in items:
+                giver[x] -= 1
+                taker[x] = taker.get(x, 0) + 1
+        for n in (na, nb):
+            bins[n][0] -= m
+        for n in {na, nb}:
+            if not bins[n][0]:
+                del bins[n], born[n]
+                done.pop(n, None)
+        for c in (ca, cb):
+            put(m, {x: k for x, k in c.items() if k})
+    return list(bins.values())
+
+
+def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
     """Runs of ranks by length: pieces `rank0 <= rank < rank0 + n` of a length go k to a bin, from bin `bin0`, at `offset`."""
-    groups = local_search(best_fit_groups(counts, capacity), capacity, max_steps)
+    groups = local_search(best_fit_groups(counts, capacity), capacity)
     used = dict.fromkeys(counts, 0)
     rows, bin0 = [], 0
     for mult, _, items in groups:
@@ -316,7 +325,7 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, max_steps: int =
     return dict(zip(("length", "rank0", "bin0", "offset", "k"), cols))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, max_steps: int = MAX_STEPS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...), which should be materialised.
 
     Empty input gives empty output; ties among equal lengths go by a hash and
@@ -324,7 +333,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_steps: int = MAX_STEPS
     doc_ids are packed one by one.
     """
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    runs = plan_runs(counts, capacity, max_steps)
+    runs = plan_runs(counts, capacity)
     split = {length: max(1, round(n**0.5)) for length, n in counts.items()}
     table = np.ones(capacity + 1, np.int64)
     for length, n in split.items():
