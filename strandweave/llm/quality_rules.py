@@ -69,10 +69,11 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, where: str = "true") -> DataFrame:
-    """(doc_id, text, y) of at most max_rows labelled documents, the lowest by hash of their ids; null labels are left out."""
-    chosen = labels.where(f"`{label}` is not null and doc_id is not null and ({where})").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
+    """(doc_id, text, y) of at most max_rows labelled documents, the lowest by hash of their ids; null labels are left out. Repeated labels count once, and of the texts of a repeated id the smallest."""
+    chosen = labels.where(f"`{label}` is not null and doc_id is not null and ({where})").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = TRAIN_ROWS) -> Forest | None:
@@ -91,8 +92,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     return boost(np.stack(got["x"].map(np.asarray).tolist()), got["y"].to_numpy(), np.array(list(FEATURES.values())))
 
 
-def apply_rules(docs: DataFrame, model: Forest | None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, the base statistics, base_failed, kept, score; then the columns named in keep.
+def verdicts(texts: list[str | None], model: Forest | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base statistics, base_failed, kept and score of each text."""
+    stats = [document_stats(t) for t in texts]
+    base = np.array([s[0] for s in stats], np.int64).reshape(-1, 5)
+    failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT_PERCENT * base[:, 0])
+    score = np.ones(len(base)) if model is None else 1 / (1 + np.exp(-model.scores(np.array([s[1] for s in stats]).reshape(-1, len(FEATURES)))))
+    return base, failed, ~failed & (score >= threshold), score
+
+
+def apply_rules(docs: DataFrame, model: Forest | None, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: doc_id, the base statistics, base_failed, kept, score.
 
     A null or empty text has no words and fails the base rules. Repeated rows
     and rows with a null id are judged one by one; an empty table gives no
@@ -100,32 +110,24 @@ def apply_rules(docs: DataFrame, model: Forest | None, threshold: float = THRESH
     base rules decide alone.
     """
     prepare(docs.sparkSession)
-    keep = keep or []
-    src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(F.col(f"`{c}`") for c in keep))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
-    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in keep)).schema.fields if f.name != "doc_id")
 
     def run(batches):
         for b in batches:
-            stats = [document_stats(t) for t in b.column(1).to_pylist()]
-            base = np.array([s[0] for s in stats], np.int64).reshape(-1, 5)
-            failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT_PERCENT * base[:, 0])
-            if model is None:
-                score = np.ones(len(base))
-            else:
-                score = 1 / (1 + np.exp(-model.scores(np.array([s[1] for s in stats]).reshape(-1, len(FEATURES)))))
-            cols = [b.column(0), *(pa.array(c) for c in base.T), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]
-            names = ["doc_id", *BASE, "base_failed", "kept", "score"]
-            for i, c in enumerate(keep):
-                if c != "doc_id":
-                    cols.append(b.column(2 + i))
-                    names.append(c)
-            yield pa.RecordBatch.from_arrays(cols, names)
+            base, failed, kept, score = verdicts(b.column(1).to_pylist(), model, threshold)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in base.T), pa.array(failed), pa.array(kept), pa.array(score)], ["doc_id", *BASE, "base_failed", "kept", "score"])
 
     return src.mapInArrow(run, schema)
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with their columns."""
-    names = docs.columns
-    return apply_rules(docs, fit(docs, labels), keep=names).where("kept").select(*(F.col(f"`{c}`") for c in names))
+def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that pass, with their columns, whatever their names; nulls, repeats and empty tables as in apply_rules."""
+    model = fit(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(verdicts(b.column(at).to_pylist(), model, threshold)[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ def test_query_matches_brute_force(spark, sf_small, small_texts):
 
 
 def test_odd_rows(make_docs, odd_rows):
-    rows = quality_rules.apply_rules(make_docs(odd_rows), None, keep=["doc_id", "rank"]).collect()
+    rows = quality_rules.apply_rules(make_docs(odd_rows), None).collect()
     check(rows, dict(odd_rows))
     assert len(rows) == len(odd_rows)
     assert quality_rules.apply_rules(make_docs([]), None).count() == 0
@@ -79,3 +79,19 @@ def test_forest_learns_and_scores_alike_in_any_batch():
     s = model.scores(x)
     assert ((s > 0.5) == y).mean() > 0.95
     assert np.allclose(np.concatenate([model.scores(x[i : i + 7]) for i in range(0, 600, 7)]), s)
+
+
+def test_columns_with_names_of_its_own(spark, make_docs):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    docs = make_docs([(1, " ".join(f"word{i}" for i in range(80))), (None, " ".join(f"w{i}" for i in range(80))), (2, "short"), (3, None)])
+    for c in ("score", "kept", "n_words", "base_failed", "strandweave_id", "set", "key", "node", "hs", "length", "sequence_id"):
+        docs = docs.withColumnRenamed("rank", c) if "rank" in docs.columns else docs.withColumn(c, docs["lang"])
+    kept = quality_rules.keep_documents(docs, none)
+    assert kept.columns == docs.columns and sorted(map(str, kept.select("doc_id", "score").collect())) == sorted(map(str, docs.where("length(text) > 100").select("doc_id", "score").collect()))
+
+
+def test_repeated_ids_and_labels_train_once(spark, make_docs):
+    docs = make_docs([(1, "b"), (1, "a"), (1, None), (2, "c"), (2, "c")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 1), (None, 1)], "doc_id long, quality int")
+    got = quality_rules.training_rows(docs, labels, "quality", 10).collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 1.0), (2, "c", 0.0), (2, "c", 1.0)]
