@@ -7,7 +7,7 @@ whose halves lie on different strands, and mostly on different sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.sequences import letters_as_bases, reverse_complement
@@ -41,6 +41,25 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc"), "doc_id").alias("name"), letters_as_bases(F.coalesce("text", F.lit(""))).alias("seq"))
 
 
+#: Letters as bases and, for four of them, N; letters as all codes that a sequence may hold.
+_LETTERS, _WITH_N, _IUPAC = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTANGTACGTNCGTACGNAN", "ACGTRYMKVBDHSWNXACGTRYMKVB"
+_MAPPED = "translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '" + _LETTERS + "', '{}')"
+WITH_N_SQL, IUPAC_SQL = _MAPPED.format(_WITH_N), _MAPPED.format(_IUPAC)
+
+
+def _mapped(text: Column, to: str) -> Column:
+    return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), _LETTERS, to)
+
+
+def letters_as_iupac(text: Column) -> Column:
+    return _mapped(text, _IUPAC)
+
+
+def sequences_with_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("seq_id"), _mapped(F.coalesce("text", F.lit("")), _WITH_N).alias("seq"))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window over all items orders a benchmark, whose size doesn't follow the corpus."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", letters_as_bases(F.coalesce("text", F.lit(""))).alias("seq"))

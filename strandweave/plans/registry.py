@@ -16,7 +16,7 @@ from strandweave.functions import sequences as S
 from strandweave.operators import index, offsets, output, seeds, select, stats
 from strandweave.params import AlignParams
 from strandweave.plans.engine import Stages, hits_without_index, plan
-from strandweave.plans.fixtures import READS_SQL, SEQS_SQL, kmers_sql, reads, sequences
+from strandweave.plans.fixtures import FIRST_JOINED, IUPAC_SQL, READS_SQL, SEQS_SQL, WITH_N_SQL, kmers_sql, letters_as_iupac, reads, sequences, sequences_with_n
 from strandweave.sources.text import validity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,13 @@ def kmer_pack(spark, sf_dir):
     return k.select("query_id", "pos", "kmer", S.unpack_kmer(F.col("kmer"), P.word_len).alias("text"))
 
 
+@query(f"SELECT doc_id, md5(reverse(translate({IUPAC_SQL}, 'ACGTRYMKVBDH', 'TGCAYRKMBVHD'))) AS bases FROM documents")
+def revcomp_iupac(spark, sf_dir):
+    """Reverse complements of sequences with all letters of the code."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(S.reverse_complement(letters_as_iupac(F.coalesce("text", F.lit(""))))).alias("bases"))
+
+
 # The index
 
 
@@ -108,6 +115,12 @@ for _skip in (1, 3, 15):
     _explode(_skip)
 
 
+@query(f"WITH {SEQS_SQL}, {kmers_sql()} {_PER_SEQUENCE}".replace(SEQS_SQL, f"seqs AS (SELECT doc_id AS seq_id, {WITH_N_SQL} AS seq FROM documents)").replace("FROM kmer_text)", "FROM kmer_text WHERE NOT contains(k, 'N'))"))
+def kmer_explode_with_n(spark, sf_dir):
+    """Windows with a letter that is no base have no k-mer."""
+    return _per_sequence(index.kmers(_spread(sequences_with_n(spark, sf_dir)), P.word_len))
+
+
 def _counts(spark, sf_dir):
     return index.kmer_counts(index.kmers(_seqs(spark, sf_dir), P.word_len))
 
@@ -176,6 +189,13 @@ def read_validity(spark, sf_dir):
     return validity(reads(spark, sf_dir).unionByName(docs), P).select("query_id", "reason")
 
 
+@query(f"""WITH {SEQS_SQL} SELECT seq_id AS query_id, CASE WHEN length(seq) = 0 THEN 'empty' WHEN length(seq) > 32000 THEN 'too long' WHEN seq_id % 7 = 0 THEN 'quality length' WHEN length(seq) < 15 THEN 'too short' END AS reason FROM seqs""")
+def read_validity_with_qualities(spark, sf_dir):
+    """Documents as reads, every seventh with a quality that is one longer."""
+    docs = sequences(spark, sf_dir).select(F.col("seq_id").alias("query_id"), F.col("name").alias("qname"), "seq", F.expr("repeat('I', length(seq) + if(seq_id % 7 = 0, 1, 0))").alias("qual"))
+    return validity(docs, P).select("query_id", "reason")
+
+
 @query("SELECT page_id, substr(replace(url || ' page ' || page_id, ' ', '_'), 1, 200) AS qname FROM pages")
 def read_names(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -360,6 +380,33 @@ def exact_read_alignments(spark, sf_dir):
     return found.where(whole).select("query_id", "seq_id", "score").distinct()
 
 
+def _changed(change: str, edits_are: str) -> str:
+    """SQL: items that stand in a sequence as they are, with one base of the middle changed."""
+    return f"WITH {SEQS_SQL}, {READS_SQL} SELECT DISTINCT r.query_id, s.seq_id, CAST({edits_are} AS INTEGER) AS score FROM reads r JOIN seqs s ON contains(s.seq, r.seq) WHERE r.query_id < {FIRST_JOINED} AND NOT contains(s.seq, {change}) AND length(r.seq) >= 60"
+
+
+def _changed_alignments(spark, sf_dir, change: str, kept: str):
+    """Alignments over the whole changed read in one piece, on the strand of the item."""
+    given = reads(spark, sf_dir).where(F.col("query_id") < FIRST_JOINED).where("length(seq) >= 60").withColumn("seq", F.expr(change))
+    found = plan(given, _seqs(spark, sf_dir), NO_COVERAGE).alignments
+    whole = F.expr(f"strand = '+' and sqo = 0 and eqo = query_len - 1 and {kept}")
+    return found.where(whole).select("query_id", "seq_id", "score").distinct()
+
+
+@query(_changed("left(r.seq, length(r.seq) // 2) || translate(substr(r.seq, length(r.seq) // 2 + 1, 1), 'ACGT', 'CATG') || substr(r.seq, length(r.seq) // 2 + 2)", "length(r.seq) - 1 - 3"))
+def replaced_base_alignments(spark, sf_dir):
+    """Items with the middle base replaced: one replacement, at that place."""
+    change = "concat(left(seq, length(seq) div 2), translate(substring(seq, cast(length(seq) div 2 + 1 as int), 1), 'ACGT', 'CATG'), substring(seq, cast(length(seq) div 2 + 2 as int)))"
+    return _changed_alignments(spark, sf_dir, change, "size(ops) = 3 and ops[1].op = 'R' and ops[1].len = 1 and ops[0].len = query_len div 2")
+
+
+@query(_changed("left(r.seq, length(r.seq) // 2) || substr(r.seq, length(r.seq) // 2 + 2)", "length(r.seq) - 1 - 7"))
+def dropped_base_alignments(spark, sf_dir):
+    """Items without the middle base: one gap of one base."""
+    change = "concat(left(seq, length(seq) div 2), substring(seq, cast(length(seq) div 2 + 2 as int)))"
+    return _changed_alignments(spark, sf_dir, change, "size(ops) = 3 and ops[1].op = 'D' and ops[1].len = 1")
+
+
 @query(f"WITH {SEQS_SQL}, {READS_SQL} SELECT r.query_id, length(r.seq) AS query_len FROM reads r WHERE EXISTS (SELECT 1 FROM seqs s WHERE contains(s.seq, r.seq))")
 def fully_covered_reads(spark, sf_dir):
     """Reads that one primary alignment covers from end to end without an error."""

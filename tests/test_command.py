@@ -9,7 +9,7 @@ def test_flags():
     assert params(parser().parse_args(["index", "-H", "100"])).index_max_hits == 100
 
 
-def test_index_then_align(spark, tmp_path):
+def test_index_then_align(spark, tmp_path, capsys):
     r = random.Random(1)
     ref = "".join(r.choice("ACGT") for _ in range(2000))
     (tmp_path / "g.fa").write_text(f">chr1 x\n{ref}\n")
@@ -24,4 +24,9 @@ def test_index_then_align(spark, tmp_path):
     main(["compress", "-g", str(tmp_path / "g.fa"), "-o", str(tmp_path / "p")], spark)
     main(["uncompress", "-g", str(tmp_path / "p" / "part-00000.nib2"), "-o", str(tmp_path / "fa")], spark)
     assert "".join(x[0] for x in spark.read.text(str(tmp_path / "fa")).collect()).replace(">chr1", "").replace("\n", "") == ref
+    made = sorted((tmp_path / "p").iterdir())[-1].stat().st_mtime_ns
+    main(["compress", "-g", str(tmp_path / "g.fa"), "-o", str(tmp_path / "p"), "-v"], spark)
+    assert sorted((tmp_path / "p").iterdir())[-1].stat().st_mtime_ns == made and "total\t" in capsys.readouterr().err
+    main(["compress", "-g", str(tmp_path / "g.fa"), "-o", str(tmp_path / "p"), "--force"], spark)
+    assert sorted((tmp_path / "p").iterdir())[-1].stat().st_mtime_ns > made
     spark.sql("DROP TABLE cli_index")

@@ -47,8 +47,17 @@ def test_large_fastq_is_split_and_numbered(spark, tmp_path):
 
 
 def test_multi_line_fastq(spark, tmp_path):
-    (tmp_path / "r.fq").write_text("@a\nAC\nGT\n+x\nII\nI@\n@b\nACG\n+\nIII\n")
-    assert rows(text.read_fastq(spark, str(tmp_path / "r.fq"), four_lines=False), "qname", "seq", "qual") == [("a", "ACGT", "III@"), ("b", "ACG", "III")]
+    (tmp_path / "r.fq").write_text("@a\nAC\nGT\n+x\nII\n@@\n@b 2\r\nACG\r\n+\r\nIII\r\n@c\nA\n+\nII\nI\n\n@d\n\n+\n\n@e\nAC\n+\n@I")
+    (tmp_path / "s.fq").write_text("@f\nACGT\n+\nIIII\n")
+    got = rows(text.read_reads(spark, str(tmp_path)), "query_id", "qname", "seq", "qual")
+    assert got == [(0, "a", "ACGT", "II@@"), (1, "b_2", "ACG", "III"), (2, "c", "A", "III"), (3, "d", "", ""), (4, "e", "AC", "@I"), (5, "f", "ACGT", "IIII")]
+
+
+def test_standard_input_is_staged(spark, tmp_path):
+    import io
+
+    path = text.stage_input(spark, io.BytesIO(b"@a\nACGT\n+\nIIII\n" * 3), str(tmp_path))
+    assert rows(text.read_reads(spark, path), "query_id", "seq") == [(0, "ACGT"), (1, "ACGT"), (2, "ACGT")]
 
 
 def test_validity(spark):
