@@ -52,7 +52,8 @@ def test_scores_equal_the_plain_model():
         if words:
             index, buckets = quality_classifier.word_features(words)
             means = np.bincount(index, model.bucket_scores[buckets]) / np.bincount(index)
-            z += means.mean()
+            bigrams = quality_classifier.bigram_buckets(np.array([zlib.crc32(w) for w in words]))
+            z += (means.sum() + model.bucket_scores[bigrams].sum()) / (len(means) + len(bigrams))
         assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
     assert model.scores(["good words"])[0] > model.scores(["bad bad"])[0]
 
