@@ -6,21 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def query_stats(reads: DataFrame, hits: DataFrame, in_regions: DataFrame, alignments: DataFrame, selected: DataFrame) -> DataFrame:
-    """Per read: length, seed matches, regions, mean fragments per region, alignments tried and reported."""
-    per = lambda df, *aggs: df.groupBy("query_id").agg(*aggs)
-    regions = in_regions.groupBy("query_id", "strand", "seq_id", "region").agg(F.count(F.lit(1)).alias("f"))
-    out = reads.select("query_id", F.length("seq").alias("query_len"))
-    for part in (
-        per(hits, F.count(F.lit(1)).alias("n_seeds")),
-        per(regions, F.count(F.lit(1)).alias("n_regions"), F.sum("f").alias("n_fragments")),
-        per(alignments, F.count(F.lit(1)).alias("n_alignments")),
-        per(selected, F.count(F.lit(1)).alias("n_reported")),
-    ):
+def _joined(out: DataFrame, *parts: DataFrame) -> DataFrame:
+    for part in parts:
         out = out.join(part, "query_id", "left")
     return out.fillna(0)
 
 
+def seed_stats(reads: DataFrame, hits: DataFrame, in_regions: DataFrame) -> DataFrame:
+    """Per read: length, seed matches, regions and their fragments."""
+    regions = in_regions.groupBy("query_id", "strand", "seq_id", "region").agg(F.count(F.lit(1)).alias("f"))
+    seeds = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_seeds"))
+    return _joined(reads.select("query_id", F.length("seq").alias("query_len")), seeds, regions.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_regions"), F.sum("f").alias("n_fragments")))
+
+
+def query_stats(reads: DataFrame, hits: DataFrame, in_regions: DataFrame, alignments: DataFrame, selected: DataFrame) -> DataFrame:
+    """Per read: seed statistics, alignments tried and reported."""
+    return _joined(seed_stats(reads, hits, in_regions), *(df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name)) for df, name in ((alignments, "n_alignments"), (selected, "n_reported"))))
+
+
 def run_stats(per_read: DataFrame) -> DataFrame:
     """One row: reads, lengths, seeds, unaligned reads, alignments per aligned read."""
     done = F.col("n_reported") > 0

@@ -369,6 +369,42 @@ def similar_alignments(spark, sf_dir):
     return select.similar(a, P).select("query_id", "primary_ix", "score", "mapq", "n_secondaries")
 
 
+_MADE = """made AS (SELECT query_id, strand, seq_id, sqo, eqo, sro, ero, score, line, 'read' || query_id AS qname, 'ref' || seq_id AS rname, score AS matches, score + line AS aln_len, line - 1 AS mismatches, 1 AS gap_bases,
+CASE WHEN strand = '-' THEN 199 - eqo ELSE sqo END AS psqo, CASE WHEN strand = '-' THEN 199 - sqo ELSE eqo END AS peqo, left(repeat(translate(md5(CAST(query_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGN'), 7), 200) AS seq FROM alns)"""
+
+
+def _made_results(spark, sf_dir):
+    """Selected alignments made of order lines, with their reads and sequences."""
+    from pyspark.sql import Window
+
+    a = _alignment_table(spark, sf_dir)
+    place = (F.col("strand"), F.col("sqo"), F.col("eqo"), F.col("query_len"))
+    a = a.withColumns({"psqo": intervals.plus_start(*place), "peqo": intervals.plus_end(*place), "matches": F.col("score"), "aln_len": F.expr("score + line"), "mismatches": F.expr("line - 1"), "gap_bases": F.lit(1)})
+    a = a.withColumns({"ref": F.expr("repeat('A', score)"), "matched_primary": F.expr("if(line % 2 = 0, line, null)"), "n_primaries": F.expr("if(line % 3 = 0, line, null)"), "n_secondaries": F.expr("if(line % 3 = 1, line, null)")})
+    each = a.select("query_id").distinct()
+    seq = F.substring(F.repeat(F.translate(F.md5(F.col("query_id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGN"), 7), 1, 200)
+    given = each.select("query_id", F.concat(F.lit("read"), "query_id").alias("qname"), seq.alias("seq"), F.when(F.col("query_id") % 2 == 0, F.expr("repeat(chr(cast(40 + query_id % 50 as int)), 200)")).alias("qual"))
+    refs = spark.range(3).select(F.col("id").alias("seq_id"), F.concat(F.lit("ref"), "id").alias("name"))
+    return a, given, refs
+
+
+@query(f"""WITH {_ALNS}, {_MADE} SELECT qname, rname, round(100.0 * matches / aln_len, 2)::DOUBLE AS identity, aln_len, mismatches, gap_bases, psqo + 1 AS qstart, peqo + 1 AS qend,
+CASE WHEN strand = '-' THEN ero + 1 ELSE sro + 1 END AS rstart, CASE WHEN strand = '-' THEN sro + 1 ELSE ero + 1 END AS rend, strand, score, 200 AS query_len, round(100.0 * matches / 200, 2)::DOUBLE AS coverage FROM made""")
+def report_rows_made(spark, sf_dir):
+    """The report of given alignments."""
+    return output.report_rows(*_made_results(spark, sf_dir))
+
+
+@query(f"""WITH {_ALNS}, {_MADE}, told AS (SELECT *, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS shown FROM made)
+SELECT query_id, qname, CASE WHEN strand = '-' THEN 16 ELSE 0 END AS flag, rname, sro + 1 AS pos, 255 AS mapq,
+CASE WHEN sqo > 0 THEN sqo || 'S' ELSE '' END || score || 'M' || CASE WHEN 199 - eqo > 0 THEN (199 - eqo) || 'S' ELSE '' END AS cigar, '*' AS rnext, 0 AS pnext, 0 AS tlen, shown AS seq,
+CASE WHEN query_id % 2 = 0 THEN repeat(chr(CAST(40 + query_id % 50 AS INTEGER)), 200) ELSE '*' END AS qual,
+'AS:i:' || score || chr(9) || 'NM:i:0' || chr(9) || 'MD:Z:' || score || chr(9) || 'YF:Z:0c' || CASE WHEN line % 2 = 0 THEN chr(9) || 'YI:i:' || line ELSE '' END || CASE WHEN line % 3 = 0 THEN chr(9) || 'YP:i:' || line ELSE '' END || CASE WHEN line % 3 = 1 THEN chr(9) || 'YS:i:' || line ELSE '' END AS tags FROM told""")
+def sam_rows_made(spark, sf_dir):
+    """The SAM records of given alignments, with soft clips."""
+    return output.sam_rows(*_made_results(spark, sf_dir), P, "S")
+
+
 # Whole alignments
 
 
@@ -453,6 +489,14 @@ def sam_sequence_lines(spark, sf_dir):
     return output.sam_header(sequences(spark, sf_dir), P).where("line like '@SQ%'")
 
 
+@query(f"""{_REGIONS}, s AS (SELECT query_id, count(*) AS n FROM hits GROUP BY ALL), g AS (SELECT query_id, count(DISTINCT (strand, seq_id, region)) AS n, count(*) AS f FROM regions GROUP BY query_id)
+SELECT r.query_id, length(r.seq) AS query_len, coalesce(s.n, 0) AS n_seeds, coalesce(g.n, 0) AS n_regions, coalesce(g.f, 0) AS n_fragments FROM reads r LEFT JOIN s USING (query_id) LEFT JOIN g USING (query_id)""")
+def read_seed_stats(spark, sf_dir):
+    """Statistics of reads before alignment."""
+    s = _stages(spark, sf_dir)
+    return stats.seed_stats(reads(spark, sf_dir), s.hits, s.regions)
+
+
 @query()
 def read_stats(spark, sf_dir):
     s = _stages(spark, sf_dir)
