@@ -103,8 +103,8 @@ def percentiles(counts: DataFrame, at: tuple[float, ...] = (25, 50, 75, 90, 95,
 
 
 def position_counts(index: DataFrame, counts: DataFrame) -> DataFrame:
-    """(seq_id, pos, n): how often the k-mer at each position occurs overall."""
-    return index.join(counts, "kmer").select("seq_id", "pos", "n")
+    """(seq_id, pos, n): how often the k-mer at each position occurs overall. counts are the index's own: a k-mer of one position, as most are, needs no partner in the join."""
+    return index.join(counts.where("n > 1"), "kmer", "left").select("seq_id", "pos", F.coalesce("n", F.lit(1)).alias("n"))
 
 
 def write_index(index: DataFrame, table: str, p: AlignParams, buckets: int = 64) -> None:

@@ -225,11 +225,13 @@ def similar(covered: DataFrame, p: AlignParams) -> DataFrame:
     o = F.col("_h.over")
     enough = (F.col("score") >= p.score_ratio * F.col("_h.score")) & (o >= p.reciprocal_length * (F.col("peqo") - F.col("psqo") + 1)) & (o >= p.reciprocal_length * (F.col("_h.e") - F.col("_h.s") + 1))
     tied = tied.withColumn("matched_primary", F.when(lead, F.col("primary_ix")).otherwise(-F.col("_h.ix"))).withColumn("_second", F.coalesce(enough, F.lit(False)))
-    rivals = F.sort_array(F.collect_list(F.when(~lead, F.col("score"))).over(of_primary), asc=False)
-    tied = tied.withColumns({"_s": rivals, "n_secondaries": F.when(lead, F.sum(F.col("_second").cast("int")).over(of_primary).cast("int"))})
+    # the two best rivals of a primary, without a list of all of them on every row
+    tied = tied.withColumn("_r", F.row_number().over(of_primary.orderBy(lead, F.desc("score"))))
+    rival = lambda n: F.max(F.when(~lead & (F.col("_r") == n), F.col("score"))).over(of_primary)
+    tied = tied.withColumns({"_s1": rival(1), "_s2": rival(2), "n_secondaries": F.when(lead, F.sum(F.col("_second").cast("int")).over(of_primary).cast("int"))})
     kept = tied.where(lead | F.col("_second")) if p.similar else tied.where(lead)
     told = kept.withColumns({
-        "mapq": F.when(F.col("primary_ix").isNotNull(), mapping_quality(F.col("score"), F.get("_s", 0), F.get("_s", 1))).otherwise(F.col("mapq")),
+        "mapq": F.when(F.col("primary_ix").isNotNull(), mapping_quality(F.col("score"), F.col("_s1"), F.col("_s2"))).otherwise(F.col("mapq")),
         "status": F.when(F.col("primary_ix").isNotNull(), F.col("status").bitwiseOR(F.lit(PRIMARY))).otherwise(F.col("status")),
     })
     return told.select(*covered.columns, "n_secondaries", "matched_primary")
