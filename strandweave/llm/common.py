@@ -20,9 +20,15 @@ _folders: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package, and bound Arrow batches so that a batch of long texts fits a Python worker."""
+    """Ship the package, and bound Arrow batches so that a batch of long texts fits a Python worker.
+
+    Spark reads that bound when a lazy result is at last computed, so that it
+    stays set in the session; a lower one is left as it is.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

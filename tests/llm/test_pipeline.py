@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -58,3 +59,18 @@ def test_rows_without_an_id_and_rows_that_share_one(spark, make_docs):
     kept = pipeline.near_duplicates(spark, make_docs(rows), "")
     key = lambda x: (str(x[0]), str(x[1]))
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=key) == sorted([(None, a), (None, b), (None, c), (None, None), (1, a), (1, b), (3, c), (4, None)], key=key)
+
+
+def test_columns_with_names_that_stages_use(spark, make_docs):
+    r = random.Random(2)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    texts = [prose(120) for _ in range(6)]
+    rows = list(enumerate([*texts, texts[0], texts[1] + " more", 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" ' + prose(90)]))
+    docs = make_docs(rows)
+    for c in ("score", "kept", "id", "name", "set", "key", "node", "group", "hs", "item_id", "length", "piece", "start", "ids"):
+        docs = docs.withColumn(c, docs["lang"])
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {x["doc_id"] for x in out.collect()} == ({0, 1, 2, 3, 4, 5, 8} if name == "near_duplicates" else set(range(9))), name
+    assert pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == 9
