@@ -26,6 +26,7 @@ from strandweave.llm.common import materialize, prepare
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 500_000
+MAX_TRIES = 5_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict[str, "WordCache"] = {}
@@ -251,12 +252,12 @@ def _shift(a: list, b: list, capacity: int) -> tuple[dict, dict] | None:
     return found
 
 
-def local_search(groups: list[list], capacity: int) -> list[list]:
+def local_search(groups: list[list], capacity: int, max_tries: int = MAX_TRIES) -> list[list]:
     """Moves, one-for-one and two-for-one exchanges from the emptiest bins into fuller ones.
 
     Each step raises the sum of squared fills, so it ends: at the lower bound
-    on bins, or when no exchange of any two bins raises it. Pairs of contents
-    that had none are remembered. Groups change as many bins at once as both
+    on bins, when no exchange of any two bins raises it, or after max_tries
+    tried pairs, which leaves a valid packing. Groups change as many bins at once as both
     have; the work depends on the number of groups, not of bins.
     """
     total = sum(g[0] * (capacity - g[1]) for g in groups)
@@ -265,6 +266,7 @@ def local_search(groups: list[list], capacity: int) -> list[list]:
     born: dict[tuple, int] = {}  # when a group came or grew
     done: dict[tuple, int] = {}  # up to when a group has been tried with all others as the emptier one
     clock = itertools.count()
+    tries = 0
 
     def put(mult: int, items: dict[int, int]) -> None:
         """Equal bins are one group."""
@@ -274,12 +276,16 @@ def local_search(groups: list[list], capacity: int) -> list[list]:
             born[name] = next(clock)
 
     def step() -> tuple | None:
+        nonlocal tries
         recent = sorted(born, key=born.get)
         ages = [born[n] for n in recent]
         for na in sorted(bins, key=lambda n: (-bins[n][1], n)):
             a = bins[na]
             for nb in recent[bisect.bisect_right(ages, done.get(na, -1)) :]:
                 b = bins[nb]
+                tries += 1
+                if tries > max_tries:
+                    return None
                 if 0 < b[1] <= a[1] and (nb != na or a[0] > 1) and (found := _shift(a, b, capacity)):
                     return na, nb, found
             done[na] = ages[-1]
