@@ -25,9 +25,13 @@ class Stages:
 
 
 def hits_without_index(stranded: DataFrame, sequences: DataFrame, p: AlignParams) -> DataFrame:
-    """Seed hits straight from sequences: windows stay text, and only those that reads have are counted and joined."""
-    mine = seeds.read_windows(stranded, p.word_len)
-    shared = index.windows(sequences, p.word_len, p.skip_dist).join(mine.select("kmer").distinct(), "kmer", "left_semi")
+    """Seed hits straight from sequences: only k-mers that reads have are counted and joined.
+
+    A fold of the reads' k-mers, made at once, keeps nearly all others from
+    becoming rows; the semi-join drops those it lets pass.
+    """
+    mine = seeds.read_kmers(stranded, p.word_len)
+    shared = index.kmers(sequences, p.word_len, p.skip_dist, among=index.fold(mine)).join(mine.select("kmer").distinct(), "kmer", "left_semi")
     return seeds.seed_hits(mine, shared, index.kmer_counts(shared), p)
 
 
