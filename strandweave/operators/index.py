@@ -18,6 +18,8 @@ from strandweave.session import ship
 
 #: Bases per chunk of the reference, and per piece that k-mers are taken from.
 CHUNK, PIECE = 1024, 8192
+#: Bases per bucket of chunks that asks for counts at once.
+BUCKET = 1 << 22
 
 
 def chunks(sequences: DataFrame, id_col: str = "seq_id", chunk: int = CHUNK, overlap: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -128,9 +130,37 @@ def percentiles(counts: DataFrame, at: tuple[float, ...] = (25, 50, 75, 90, 95,
     return wanted.groupBy("percent").agg(reach("k", "tk").alias("by_kmer"), reach("m", "tm").alias("by_hit"))
 
 
-def position_counts(index: DataFrame, counts: DataFrame) -> DataFrame:
-    """(seq_id, pos, n): how often the k-mer at each position occurs overall. counts are the index's own: a k-mer of one position, as most are, needs no partner in the join."""
-    return index.join(counts.where("n > 1"), "kmer", "left").select("seq_id", "pos", F.coalesce("n", F.lit(1)).alias("n"))
+def postings(sequences: DataFrame, word_len: int = 15, over: int = 0, span: int = 1_000_000) -> DataFrame:
+    """(kmer, n, first, last) of k-mers with more than `over` positions: how many, and the least and greatest seq_id * span + pos."""
+    ship(sequences.sparkSession)
+    parts = chunks(sequences, "seq_id", PIECE, word_len - 1).mapInArrow(lambda b: K.partial_places(b, word_len, span, PIECE), "range int, size int, keys binary, ns binary, ids binary, at binary, reach binary, base bigint")
+    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(lambda b: K.merged_places(b, word_len, span, over), "kmer bigint, n bigint, first bigint, last bigint")
+
+
+def _asked(sequences: DataFrame, word_len: int, skip: int, use, kinds: str) -> DataFrame:
+    """use(table of chunks, row, pos, key, n) over buckets of chunks, n being how often a window's k-mer occurs overall.
+
+    A bucket, of some millions of bases, asks for its distinct k-mers by range; a
+    range adds up what all buckets ask and answers each; a bucket finds its
+    answers in the order of its sorted k-mers. Counts the bases at once, to
+    know how many buckets there are.
+    """
+    ship(sequences.sparkSession)
+    bases = sequences.agg(F.sum(F.length("seq").cast("bigint"))).first()[0] or 0
+    cut = chunks(sequences, "seq_id", PIECE, word_len - 1).withColumn("bucket", F.pmod(F.xxhash64("seq_id", "chunk_id"), F.lit(1 + bases // BUCKET)).cast("int"))
+    asked = cut.groupBy("bucket").applyInArrow(lambda key, t: K.bucket_requests(key[0].as_py(), t, word_len, skip, PIECE), "bucket int, range int, size int, at int, keys binary, ns binary")
+    answers = asked.groupBy("range").applyInArrow(lambda t: K.answered(t, word_len), "bucket int, at int, size int, totals binary")
+    return cut.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda t, a: use(t.combine_chunks(), *K.bucket_counts(t, a, word_len, skip, PIECE)), kinds)
+
+
+def position_counts(sequences: DataFrame, word_len: int = 15, skip: int = 1) -> DataFrame:
+    """(seq_id, pos, n): how often the k-mer at each position occurs overall."""
+
+    def use(t, row, pos, key, n):
+        return pa.Table.from_arrays([t.column("seq_id").combine_chunks().take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(n)], ["seq_id", "pos", "n"])
+
+    kind = sequences.schema["seq_id"].dataType.simpleString()
+    return _asked(sequences, word_len, skip, use, f"seq_id {kind}, pos int, n bigint")
 
 
 def write_index(index: DataFrame, table: str, p: AlignParams, buckets: int = 64) -> None:

@@ -141,20 +141,6 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(first, append=len(keys))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], key: str, bound: int = 0) -> Iterator[tuple[int, list[dict]]]:
-    """Neighbouring rows of one key, as lists of rows."""
-    at, rows = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            if rows and r[key] != at:
-                yield at, rows
-                rows = []
-            at = r[key]
-            rows.append(r)
-    if rows:
-        yield at, rows
-
-
 def partial_counts(batches: Iterator[pa.RecordBatch], word_len: int, skip: int, piece: int) -> Iterator[pa.RecordBatch]:
     """Blocks (range, size, keys, ns) of a task's k-mers: sorted some millions at a time."""
     waiting, size = [], 0
@@ -207,3 +193,108 @@ def merged_counts(batches: Iterator[pa.RecordBatch], word_len: int) -> Iterator[
             total[block_keys(keys, size).astype(np.int64) - (at << bits)] += unplaned(ns, size, np.uint32)
     if at is not None:
         yield from told()
+
+
+def partial_places(batches: Iterator[pa.RecordBatch], word_len: int, span: int, piece: int) -> Iterator[pa.RecordBatch]:
+    """Blocks (range, size, keys, ns, lows, reaches, base) of a task's k-mers: number, least and greatest place seq_id * span + pos."""
+    waiting, size = [], 0
+
+    def told():
+        keys, places = (np.concatenate(c) for c in zip(*waiting))
+        base = int(places.min())
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], places[order] - base
+        first, n = runs(keys)
+        low, high = np.minimum.reduceat(places, first), np.maximum.reduceat(places, first)
+        keys = keys[first]
+        # seq_id and pos apart: high bytes of both are mostly equal
+        parts = [low // span, low % span, high - low]
+        rows = [(r, j - i, key_block(keys[i:j]), planes(n[i:j].astype(np.uint32)), *(planes(p[i:j]) for p in parts), base) for r, i, j in blocks(keys, range_bits(word_len))]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64()]
+        for i in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 256]), kinds)], ["range", "size", "keys", "ns", "ids", "at", "reach", "base"])
+
+    for whole in batches:
+        for b in slices(whole):
+            row, pos, keys = placed(b, word_len, 1, piece)
+            waiting.append((keys, b.column("seq_id").to_numpy().astype(np.int64)[row] * span + pos))
+            size += len(keys)
+            if size >= SORTED:
+                yield from told()
+                waiting, size = [], 0
+    if size:
+        yield from told()
+
+
+def merged_places(batches: Iterator[pa.RecordBatch], word_len: int, span: int, over: int) -> Iterator[pa.RecordBatch]:
+    """(kmer, n, first, last) of k-mers with more than `over` positions, of blocks that come by range."""
+    bits = range_bits(word_len)
+    at, total = None, np.zeros(1 << bits, np.int64)
+    ends = np.iinfo(np.int64)
+    low, high = np.full(1 << bits, ends.max), np.full(1 << bits, ends.min)
+
+    def told():
+        found = np.flatnonzero(total > over)
+        for i in range(0, len(found), OUT):
+            k = found[i : i + OUT]
+            yield pa.RecordBatch.from_arrays([pa.array(k + (at << bits)), pa.array(total[k]), pa.array(low[k]), pa.array(high[k])], ["kmer", "n", "first", "last"])
+
+    for b in batches:
+        for r, size, keys, ns, ids, pos, reach, base in zip(*(b.column(c).to_pylist() for c in ("range", "size", "keys", "ns", "ids", "at", "reach", "base"))):
+            if r != at:
+                if at is not None:
+                    yield from told()
+                    total[:], low[:], high[:] = 0, ends.max, ends.min
+                at = r
+            k = block_keys(keys, size).astype(np.int64) - (at << bits)
+            total[k] += unplaned(ns, size, np.uint32)
+            begin = unplaned(ids, size, np.int64) * span + unplaned(pos, size, np.int64) + base
+            low[k] = np.minimum(low[k], begin)
+            high[k] = np.maximum(high[k], begin + unplaned(reach, size, np.int64))
+    if at is not None:
+        yield from told()
+
+
+def bucket_requests(bucket: int, cut: pa.Table, word_len: int, skip: int, piece: int) -> pa.Table:
+    """A bucket's distinct k-mers and their numbers, by range."""
+    keys = np.sort(bucket_keys(cut, word_len, skip, piece)[2])
+    first, n = runs(keys)
+    keys = keys[first]
+    rows = [(bucket, r, j - i, i, key_block(keys[i:j]), planes(n[i:j].astype(np.uint32))) for r, i, j in blocks(keys, range_bits(word_len))]
+    kinds = [*[pa.int32()] * 4, pa.binary(), pa.binary()]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], ["bucket", "range", "size", "at", "keys", "ns"])
+
+
+def bucket_keys(cut: pa.Table, word_len: int, skip: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, key) of all windows of a bucket."""
+    parts, start = [], 0
+    for b in cut.combine_chunks().to_batches():
+        for s in slices(b):
+            row, pos, key = placed(s, word_len, skip, piece)
+            parts.append((row + start, pos, key))
+            start += s.num_rows
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+
+def answered(requests: pa.Table, word_len: int) -> pa.Table:
+    """A range's requests (bucket, at, size) with the number of every k-mer over all buckets."""
+    bits = range_bits(word_len)
+    at = requests.column("range")[0].as_py() << bits
+    total = np.zeros(1 << bits, np.int64)
+    rows = requests.select(["bucket", "at", "size", "keys", "ns"]).to_pylist()
+    for r in rows:
+        total[block_keys(r["keys"], r["size"]).astype(np.int64) - at] += unplaned(r["ns"], r["size"], np.uint32)
+    told = [planes(total[block_keys(r["keys"], r["size"]).astype(np.int64) - at]) for r in rows]
+    return pa.Table.from_arrays([requests.column("bucket").combine_chunks(), requests.column("at").combine_chunks(), requests.column("size").combine_chunks(), pa.array(told, pa.binary())], ["bucket", "at", "size", "totals"])
+
+
+def bucket_counts(cut: pa.Table, answers: pa.Table, word_len: int, skip: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, key, n) of all windows of a bucket, from the answers to its requests."""
+    row, pos, key = bucket_keys(cut, word_len, skip, piece)
+    rows = sorted(answers.to_pylist(), key=lambda r: r["at"])
+    totals = np.concatenate([unplaned(r["totals"], r["size"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+    order = np.argsort(key, kind="stable")
+    _, n = runs(key[order])
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(totals, n)
+    return row, pos, key, out

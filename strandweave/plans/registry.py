@@ -156,8 +156,7 @@ def kmer_percentiles(spark, sf_dir):
 
 @query(f"{_COUNTS} SELECT seq_id, count(*) AS n, CAST(sum(counts.n) AS BIGINT) AS total, max(counts.n) AS most FROM kmers JOIN counts USING (kmer) GROUP BY seq_id")
 def kmer_refstats(spark, sf_dir):
-    k = index.kmers(_seqs(spark, sf_dir), P.word_len)
-    at = index.position_counts(k, index.kmer_counts(k))
+    at = index.position_counts(_seqs(spark, sf_dir), P.word_len)
     return at.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("total"), F.max("n").alias("most"))
 
 
@@ -175,8 +174,7 @@ def kmer_hot_filter(spark, sf_dir):
 @query(f"{_COUNTS} SELECT kmer, count(*) AS n, min(seq_id * 1000000 + pos) AS first, max(seq_id * 1000000 + pos) AS last FROM kmers GROUP BY kmer HAVING count(*) > 20")
 def kmer_postings(spark, sf_dir):
     """Where k-mers with many positions begin and end."""
-    k = index.kmers(_seqs(spark, sf_dir), P.word_len).withColumn("_g", F.col("seq_id") * 1_000_000 + F.col("pos"))
-    return k.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min("_g").alias("first"), F.max("_g").alias("last")).where("n > 20")
+    return index.postings(_seqs(spark, sf_dir), P.word_len, 20)
 
 
 # Reads

@@ -64,3 +64,25 @@ def test_no_row_per_kmer_of_the_reference(spark):
     other = taken[::-1].translate(str.maketrans("ACGT", "TGCA"))
     want = {(1, side, i, p - q, q) for side, text in (("+", taken), ("-", other)) for i, p, k in of(rows, 15) for q in range(46) if text[q : q + 15] == k}
     assert found == want and want
+
+
+def places(rows):
+    found = {}
+    for i, p, k in of(rows, 15):
+        found.setdefault(number(k), []).append(i * 1_000_000 + p)
+    return found
+
+
+def test_postings_over_tasks(spark):
+    rows = made(300, 300, "AC")
+    want = {k: (len(v), min(v), max(v)) for k, v in places(rows).items() if len(v) > 1}
+    df = spark.createDataFrame(rows, "seq_id long, seq string").repartition(5)
+    assert {r["kmer"]: tuple(r)[1:] for r in index.postings(df, 15, 1).collect()} == want and want
+
+
+def test_position_counts_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(index, "BUCKET", 3000)
+    rows = made(60, 400, "AC") + [(99, "ACGT" * 5000)]
+    many = Counter(k for _, _, k in of(rows, 15))
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    assert Counter(map(tuple, index.position_counts(df).collect())) == Counter((i, p, many[k]) for i, p, k in of(rows, 15))
