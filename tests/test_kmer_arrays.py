@@ -86,3 +86,14 @@ def test_position_counts_over_buckets(spark, monkeypatch):
     many = Counter(k for _, _, k in of(rows, 15))
     df = spark.createDataFrame(rows, "seq_id long, seq string")
     assert Counter(map(tuple, index.position_counts(df).collect())) == Counter((i, p, many[k]) for i, p, k in of(rows, 15))
+
+
+def test_sampled_positions_are_the_lowest_hashes(spark):
+    """Frequent k-mers with few and with many more positions than are kept."""
+    from hashlib import md5
+
+    rows = made(200, 300, "AC", 5) + [(1000 + i, "A" * 300) for i in range(3)]
+    want = {k: sorted(v, key=lambda g: md5(f"{k}:{g // 1_000_000}:{g % 1_000_000}".encode()).hexdigest())[:4] for k, v in places(rows).items()}
+    got = index.sample_positions(spark.createDataFrame(rows, "seq_id long, seq string"), 4)
+    assert sorted((r["kmer"], r["seq_id"] * 1_000_000 + r["pos"]) for r in got.collect()) == sorted((k, g) for k, v in want.items() for g in v)
+    assert max(map(len, places(rows).values())) > 200
