@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,10 @@ from pyspark.sql import functions as F
 CODES = "TCAGNBDHKMRSVWXY"
 #: Fixed values. Complements of IUPAC letters; N, S, W and X are their own.
 _FROM, _TO = "ACGTUBDHKMRVY", "TGCAAVHDMKYBR"
+#: The base of every letter by its ASCII code in either case; 0 for other bytes.
+_BASES = np.zeros(256, np.uint8)
+for _i, _base in enumerate(b"ACGTACGTACGTACGTACGTACGTAC"):
+    _BASES[[65 + _i, 97 + _i]] = _base
 
 
 def normalise(seq: Column) -> Column:
@@ -42,9 +49,22 @@ def unpack_kmer(key: Column, word_len: int) -> Column:
     return F.translate(F.lpad(F.conv(key.cast("string"), 10, 4), word_len, "0"), "0123", "TCAG")
 
 
+def _bases_of(texts: pa.Array) -> pa.Array:
+    """Bytes of longer characters are all above ASCII, so that they are no letters."""
+    wide = pa.types.is_large_string(texts.type)
+    kind = np.int64 if wide else np.int32
+    bounds = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
+    held = texts.buffers()[2]
+    bases = _BASES[np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]]] if held is not None else np.zeros(0, np.uint8)
+    on = bases > 0
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(on)])[bounds - bounds[0]].astype(kind)
+    out = (pa.LargeStringArray if wide else pa.StringArray).from_buffers(len(texts), pa.py_buffer(before), pa.py_buffer(bases[on]))
+    return pc.if_else(texts.is_null(), pa.scalar(None, out.type), out) if texts.null_count else out
+
+
 def letters_as_bases(text: Column) -> Column:
-    """A fixed mapping of a text's letters to bases, to make sequences of ordinary tables."""
-    return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    """A fixed mapping of a text's letters A to Z to bases, to make sequences of ordinary tables; all else goes. Needs the package on the executors (session.ship)."""
+    return F.arrow_udf(_bases_of, "string")(text)
 
 
 def query_name(header: Column, longest: int = 200) -> Column:

@@ -22,6 +22,8 @@ from strandweave.session import ship
 
 REVERSED, ALIGNED, SCORED, SPLIT, PRIMARY = 0x01, 0x04, 0x08, 0x10, 0x20
 EDITS = "array<struct<op: string, len: int>>"
+#: Sequences whose ids are sent to every executor, to read no others: some 32 MB.
+FEW = 1 << 20
 _EDITS = pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))
 
 
@@ -227,19 +229,26 @@ def align_clump(frags: list[Frag], site: Site, p: AlignParams) -> list[Alignment
     return settled(aln, site, p)
 
 
+def those_with(clumps: DataFrame, sequences: DataFrame) -> DataFrame:
+    """The sequences that have clumps; up to FEW of them leave the others where they are. Counts them at once."""
+    ids = clumps.select("seq_id").distinct()
+    few = ids.limit(FEW + 1).count() <= FEW
+    return sequences.join(F.broadcast(ids) if few else ids, "seq_id", "left_semi")
+
+
 def with_windows(clumps: DataFrame, sequences: DataFrame, reads: DataFrame, p: AlignParams) -> DataFrame:
-    """Adds read (on the clump's strand), window, first and seq_len to clumps."""
+    """Adds read (on the clump's strand), window, first and seq_len to clumps. A window that reaches past the sequence meets no chunk there."""
     pad = 8 * p.band_width + 2 * p.max_gap
-    lengths = sequences.select("seq_id", F.length("seq").alias("seq_len"))
-    near = clumps.join(reads.select("query_id", "strand", F.col("seq").alias("read")), ["query_id", "strand"]).join(lengths, "seq_id")
+    near = clumps.join(reads.select("query_id", "strand", F.col("seq").alias("read")), ["query_id", "strand"])
     low = F.array_min(F.transform("frags", lambda f: f["sro"] - f["sqo"])) - pad
     high = F.array_max(F.transform("frags", lambda f: f["sro"] - f["sqo"])) + F.length("read") + pad
-    spans = near.withColumn("_lo", F.greatest(low, F.lit(0))).withColumn("_hi", F.least(high, F.col("seq_len")))
+    spans = near.withColumn("_lo", F.greatest(low, F.lit(0))).withColumn("_hi", high)
     key = [*GROUP, "region", "clump"]
-    rest = ["frags", "read", "seq_len", "_lo", "_hi"]
+    rest = ["frags", "read", "_lo", "_hi"]
     wanted = spans.select(*key, *rest, F.explode(F.sequence(F.expr(f"cast(_lo div {CHUNK} as int)"), F.expr(f"cast((_hi - 1) div {CHUNK} as int)"))).alias("chunk_id"))
-    parts = wanted.join(chunks(sequences), ["seq_id", "chunk_id"])
-    cut = parts.groupBy(*key).agg(*(F.first(c).alias(c) for c in rest), F.array_sort(F.collect_list(F.struct("chunk_id", "bases"))).alias("c"))
+    pieces = chunks(those_with(clumps, sequences).withColumn("seq_len", F.length("seq")), keep=("seq_len",))
+    parts = wanted.join(pieces, ["seq_id", "chunk_id"])
+    cut = parts.groupBy(*key).agg(*(F.first(c).alias(c) for c in (*rest, "seq_len")), F.array_sort(F.collect_list(F.struct("chunk_id", "bases"))).alias("c"))
     first = F.col("_lo") - F.expr(f"(_lo div {CHUNK}) * {CHUNK}")
     window = F.substring(F.array_join(F.transform("c", lambda x: x["bases"]), ""), (first + 1).cast("int"), (F.col("_hi") - F.col("_lo")).cast("int"))
     return cut.select(*key, "frags", "read", window.alias("window"), F.col("_lo").alias("first"), "seq_len")

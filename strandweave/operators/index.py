@@ -30,10 +30,12 @@ def chunks(sequences: DataFrame, id_col: str = "seq_id", chunk: int = CHUNK, ove
     return at.select(id_col, *keep, "chunk_id", (F.concat("bases", tail) if overlap else F.col("bases")).alias("bases"))
 
 
-def kmers(sequences: DataFrame, word_len: int = 15, skip: int = 1, id_col: str = "seq_id", keep: tuple[str, ...] = (), pos_col: str = "pos", among: np.ndarray | None = None) -> DataFrame:
+def kmers(sequences: DataFrame, word_len: int = 15, skip: int = 1, id_col: str = "seq_id", keep: tuple[str, ...] = (), pos_col: str = "pos", among: np.ndarray | None = None, most: int | None = None) -> DataFrame:
     """(id, *keep, pos, kmer bigint): every window of ACGT alone whose start is a multiple of skip, packed; sequences shorter than word_len have none.
 
-    among: a fold of k-mers (see fold); windows whose bit isn't set stay out.
+    among: a fold of k-mers (see fold); windows whose bits aren't set stay out.
+    most: of a k-mer that a slice of the bases has more often, one more than
+    that stays; for those who then use only k-mers that have at most so many.
     """
     ship(sequences.sparkSession)
     cut = chunks(sequences, id_col, PIECE, word_len - 1, keep)
@@ -44,6 +46,9 @@ def kmers(sequences: DataFrame, word_len: int = 15, skip: int = 1, id_col: str =
         for whole in batches:
             for b in K.slices(whole):
                 row, pos, key = K.placed(b, word_len, skip, PIECE, None if bits is None else bits.value)
+                if most is not None:
+                    on = K.at_most(key, most + 1)
+                    row, pos, key = row[on], pos[on], key[on]
                 for i in range(0, len(row), K.OUT):
                     own = b.select(names).take(pa.array(row[i : i + K.OUT]))
                     yield pa.RecordBatch.from_arrays([*own.columns, pa.array(pos[i : i + K.OUT].astype(np.int32)), pa.array(key[i : i + K.OUT].astype(np.int64))], [*names, pos_col, "kmer"])
@@ -53,9 +58,9 @@ def kmers(sequences: DataFrame, word_len: int = 15, skip: int = 1, id_col: str =
 
 
 def fold(some: DataFrame) -> np.ndarray:
-    """Which k-mers may be among some's: a bit for each hash of a k-mer, 8 MB whatever their number. Runs at once."""
-    h = F.shiftrightunsigned((F.col("kmer") * K._MIX).bitwiseAND(0xFFFFFFFF), 32 - K.FOLD)
-    told = some.select(h.alias("h")).groupBy(F.expr("h div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits"))
+    """Which k-mers may be among some's: a bit for each of two hashes of a k-mer, 8 MB whatever their number. Runs at once."""
+    h = [F.shiftrightunsigned((F.col("kmer") * mix).bitwiseAND(0xFFFFFFFF), 32 - K.FOLD) for mix in K.MIXES]
+    told = some.select(F.explode(F.array(*h)).alias("h")).groupBy(F.expr("h div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits"))
     bits = np.zeros((1 << K.FOLD) // 8, np.uint8)
     for part, some_bits in told.collect():
         bits[part * 4096 : part * 4096 + len(some_bits)] = np.frombuffer(some_bits, np.uint8)

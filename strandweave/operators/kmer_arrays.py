@@ -16,9 +16,9 @@ import pyarrow as pa
 
 #: Ranges of k-mers, bases that are packed at once, k-mers that are sorted at once, keys in a block at most, rows in a batch that leaves.
 RANGES, SLICE, SORTED, BLOCK, OUT = 4096, 1 << 21, 1 << 23, 1 << 14, 1 << 18
-#: Bits of the fold that k-mers of reads are looked up in, as a power of 2.
+#: Bits of the fold that k-mers of reads are looked up in, as a power of 2; a k-mer has a bit by each factor.
 FOLD = 26
-_MIX = 2654435761
+MIXES = (2654435761, 2246822519)
 _CODE = np.full(256, 4, np.uint8)
 _CODE[list(b"TCAG")] = range(4)
 
@@ -89,14 +89,29 @@ def placed(batch: pa.RecordBatch, word_len: int, skip: int, piece: int, among: n
     return row, pos, keys[at]
 
 
-def folded(keys: np.ndarray) -> np.ndarray:
-    return keys * np.uint32(_MIX) >> np.uint32(32 - FOLD)
+def folded(keys: np.ndarray, mix: int) -> np.ndarray:
+    return keys * np.uint32(mix) >> np.uint32(32 - FOLD)
 
 
 def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Is a key's bit set? Others than those that set it may have it set, too."""
-    h = folded(keys)
-    return bits[h >> np.uint32(3)] >> (h & np.uint32(7)).astype(np.uint8) & 1 == 1
+    """Are all of a key's bits set? Others than those that set them may have them set, too."""
+
+    def on(keys, mix):
+        h = folded(keys, mix)
+        return bits[h >> np.uint32(3)] >> (h & np.uint32(7)).astype(np.uint8) & 1 == 1
+
+    found = on(keys, MIXES[0])
+    for mix in MIXES[1:]:
+        at = np.flatnonzero(found)
+        found[at] = on(keys[at], mix)
+    return found
+
+
+def at_most(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where the first n of each key stand."""
+    order = np.argsort(keys, kind="stable")
+    first, many = runs(keys[order])
+    return np.sort(order[np.arange(len(keys)) - np.repeat(first, many) < n])
 
 
 def planes(values: np.ndarray) -> bytes:

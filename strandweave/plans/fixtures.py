@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.sequences import letters_as_bases, reverse_complement
+from strandweave.session import ship
 
 FIRST_JOINED = 1_000_000
 
@@ -37,6 +38,7 @@ kmers AS (SELECT seq_id, CAST(pos AS INTEGER) AS pos, {pack_sql("k", word_len)}
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc"), "doc_id").alias("name"), letters_as_bases(F.coalesce("text", F.lit(""))).alias("seq"))
 
@@ -62,6 +64,7 @@ def sequences_with_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window over all items orders a benchmark, whose size doesn't follow the corpus."""
+    ship(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", letters_as_bases(F.coalesce("text", F.lit(""))).alias("seq"))
     after = items.withColumn("_next", F.lead("seq").over(Window.orderBy("item_id"))).where("_next is not null")
     split = after.select((F.lit(FIRST_JOINED) + F.col("item_id")).alias("query_id"), F.concat("seq", reverse_complement(F.col("_next"))).alias("seq"))

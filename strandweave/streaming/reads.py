@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandweave.params import AlignParams
 from strandweave.plans.engine import plan
+from strandweave.session import discard
 
 READS = "query_id bigint, qname string, seq string, qual string"
 
@@ -23,10 +24,11 @@ def align_stream(reads: DataFrame, sequences: DataFrame, out: str, checkpoint: s
     """Write each batch's alignments under out/batch=N; a batch that is run again replaces its own files, so each read counts once."""
 
     def run(batch: DataFrame, number: int) -> None:
-        found = plan(batch, sequences, p, kmer_index).selected
-        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        stages = plan(batch, sequences, p, kmer_index)
+        stages.selected.write.mode("overwrite").parquet(f"{out}/batch={number}")
         if also:
             also(batch, number)
+        discard(*stages.kept)
 
     return reads.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
