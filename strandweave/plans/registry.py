@@ -46,8 +46,8 @@ def _seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(sequences(spark, sf_dir))
 
 
-def _stages(spark: SparkSession, sf_dir: str, p: AlignParams = P) -> Stages:
-    return plan(reads(spark, sf_dir), _seqs(spark, sf_dir), p)
+def _stages(spark: SparkSession, sf_dir: str, p: AlignParams = P, again: bool = False) -> Stages:
+    return plan(reads(spark, sf_dir), _seqs(spark, sf_dir), p, again=again)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,13 +492,13 @@ def sam_sequence_lines(spark, sf_dir):
 SELECT r.query_id, length(r.seq) AS query_len, coalesce(s.n, 0) AS n_seeds, coalesce(g.n, 0) AS n_regions, coalesce(g.f, 0) AS n_fragments FROM reads r LEFT JOIN s USING (query_id) LEFT JOIN g USING (query_id)""")
 def read_seed_stats(spark, sf_dir):
     """Statistics of reads before alignment."""
-    s = _stages(spark, sf_dir)
+    s = _stages(spark, sf_dir, again=True)
     return stats.seed_stats(reads(spark, sf_dir), s.hits, s.regions)
 
 
 @query()
 def read_stats(spark, sf_dir):
-    s = _stages(spark, sf_dir)
+    s = _stages(spark, sf_dir, again=True)
     return stats.query_stats(reads(spark, sf_dir), s.hits, s.regions, s.alignments, s.selected)
 
 
